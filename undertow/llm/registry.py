@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from undertow.llm import exact_dedup
+from undertow.llm import bpe, exact_dedup, mixing, sharding, token_counts
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op4_sharding": sharding.op4_sharding,
+    "op7_mixing": mixing.op7_mixing,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
