@@ -62,7 +62,7 @@ def _split(rows: DataFrame, at: int, width: int) -> DataFrame:
     """Rows with ``keep, n, sha`` set where their group is settled (``bytes`` is then null), else a new group."""
     rows = rows.withColumn("digit", F.substring("bytes", at + 1, width))
     keys = ["len", "digit"] if at == 0 else ["gid", "gtag", "len", "digit"]
-    groups = (
+    groups = cut(  # written, so that both sides of the join are plain shuffles and AQE can split a hot key
         rows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("points", (-F.col("id")).alias("neg"))).alias("best"))
         .filter("n > 1")
