@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from undertow.llm import bpe, exact_dedup, mixing, sharding, token_counts
+from undertow.llm import bpe, exact_dedup, mixing, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op4_sharding": sharding.op4_sharding,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLES = {
+    "op6_quality_rules": quality_rules.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
