@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from undertow.llm import bpe, exact_dedup, mixing, quality_rules, sharding, token_counts
+from undertow.llm import bpe, chat_format, exact_dedup, mixing, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_chat_format": chat_format.op2_chat_format,
     "op4_sharding": sharding.op4_sharding,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_chat_format": chat_format.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
