@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from undertow.llm import bpe, chat_format, exact_dedup, mixing, quality_rules, sharding, token_counts
+from undertow.llm import bpe, chat_format, exact_dedup, mixing, quality_rules, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
