@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from undertow.llm import bpe, chat_format, exact_dedup, mixing, near_dedup, quality_rules, sharding, token_counts, toxicity
+from undertow.llm import bpe, chat_format, exact_dedup, html_extract, mixing, near_dedup, quality_rules, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_chat_format": chat_format.op2_chat_format,
+    "op3_html_extract": html_extract.op3_html_extract,
     "op4_sharding": sharding.op4_sharding,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
