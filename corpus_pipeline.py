@@ -1,10 +1,61 @@
-"""The corpus pipeline: stages applied one after the other to ``documents``."""
+"""The corpus pipeline: toxicity, exact dedup, near dedup, mixing, token ids.
+
+Each stage takes (spark, docs, sf_dir), ``docs`` being all that the stage before kept, and returns the columns of
+``documents``; the last adds n_tokens and ids. Decisions come back to the rows by doc_id, which the corpus holds once;
+of rows that share an id, the filters keep all or none, and rows with a null id are kept if their decision is to keep.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from undertow.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
+
+
+def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``docs`` whose id has a row with ``kept`` in ``verdicts``."""
+    kept = verdicts.filter("kept").select(F.col("doc_id").alias("v_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("v_id")), "left_semi")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that their nearest labelled examples don't call toxic; examples come from the tables in ``sf_dir``."""
+    return toxicity.keep_clean(docs, toxicity.fit_tables(spark, sf_dir))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return _kept(docs, exact_dedup.exact_dedup(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates."""
+    return _kept(docs, near_dedup.near_groups(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of sources takes it; those it takes no time go."""
+    taken = mixing.mix(docs).filter("repeats > 0").groupBy(F.col("doc_id").alias("v_id")).agg(F.max("repeats").alias("v_repeats"))
+    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("v_id")))
+    return out.withColumn("v_repeat", F.explode(F.sequence(F.lit(1), F.col("v_repeats").cast("int")))).select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids."""
+    out = bpe.encode(docs, "text", "ids")
+    return out.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("BPE encoding", token_ids),
+]
 
-STAGES: list = []
+#: The votes of nearest neighbours, the seeded mix and BPE have no SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

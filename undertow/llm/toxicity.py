@@ -61,6 +61,8 @@ class Index:
     nothing: float = 0.0  # probability of a text without any of the terms
 
     def prepare(self) -> Index:
+        if getattr(self, "of_word", None) is not None:
+            return self
         self.blocks = max(1, -(-len(self.ids) // BLOCK))
         edges = np.arange(self.blocks + 1) * BLOCK
         self.starts = np.array([np.searchsorted(e, edges) for e, _ in self.postings], np.int64).reshape(len(self.postings), -1)
@@ -185,6 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = M
             lists[t][0].append(e)
             lists[t][1].append(w)
     index.postings = [(np.array(a, np.int64), np.array(b)) for a, b in lists]
+    index.of_word = None
     index.nothing = ((none.hits or 0) + 0.5) / (none.n + 1) if n else 0.0
     index.prepare()
     votes, truth = [], []
@@ -239,3 +242,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit_tables(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", "predicted", "evidence"
     )
+
+
+def keep_clean(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with their columns; scored and filtered in place."""
+    index.of_word = None
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    @F.pandas_udf("boolean")
+    def clean(texts):
+        own = shared.value.prepare()
+        return texts.map(lambda t: own.score(t or "")[0] < 0.5)
+
+    return docs.filter(clean(F.coalesce(F.col(text_col), F.lit(""))))
