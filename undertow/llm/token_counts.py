@@ -6,7 +6,8 @@ pre-token's pieces are counted once, and the products are summed per document.
 
 At scale: what is shuffled is the frequencies, not the texts, and a frequent pre-token has one row per block rather
 than per occurrence. Pre-tokens found in many documents of a block are salted by block, so no task holds all postings
-of a hot one; the others are counted exactly once. Sums are added up per task before they are shuffled by document.
+of a hot one; the others are counted exactly once. Sums are added up per task and shuffled as one packed row per
+block, which knows its documents.
 """
 
 from __future__ import annotations
@@ -26,17 +27,13 @@ BLOCK_CHARS, BLOCK_DOCS = 16_000_000, 1 << 14
 FREQ_BITS = 18  # of the 32 bits of a posting; the others number the document in its block
 HOT_SHARE, SALTS = 0.05, 64
 FLUSH_POSTINGS = 2_000_000
-_POSTINGS = pa.schema(
-    [("word", pa.string()), ("salt", pa.int32()), ("base", pa.int64()), ("postings", pa.binary()), ("row", pa.int64()), ("tokens", pa.int64())]
-)
-_SUMS = pa.schema([("row", pa.int64()), ("tokens", pa.int64())])
 
 
-def _block(rows: list[int], texts: list[str], bpe: wordbpe.WordBpe) -> Iterator[pa.RecordBatch]:
-    """Postings of one block of documents with successive row numbers, and a row for each document's special tokens."""
+def _postings(texts: list[str], bpe: wordbpe.WordBpe) -> tuple[list[str], np.ndarray, pa.Array, list[int]]:
+    """Pre-tokens of a block, in how many of its documents each is, their postings, and each document's special tokens."""
     seen: dict[str, int] = {}
     word, doc, freq, special = [], [], [], []
-    for k, text in enumerate(texts):
+    for text in texts:
         count: Counter = Counter()
         pieces = bpe.pieces(text)
         for piece in pieces[::2]:
@@ -54,56 +51,75 @@ def _block(rows: list[int], texts: list[str], bpe: wordbpe.WordBpe) -> Iterator[
     order = np.argsort(word, kind="stable")
     packed = ((doc[order] << FREQ_BITS) | freq[order]).astype("<u4").tobytes()
     counts = np.bincount(word, minlength=len(seen))
-    if len(counts):
-        ends = np.concatenate([[0], np.cumsum(counts) * 4]).astype(np.int32)
-        blobs = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed)])
-        salt = np.where(counts > max(32, HOT_SHARE * len(texts)), rows[0] % 1_000_003 % SALTS + 1, 0).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.string()), pa.array(salt), pa.array(np.full(len(counts), rows[0])), blobs, pa.nulls(len(counts), pa.int64()), pa.nulls(len(counts), pa.int64())],
-            schema=_POSTINGS,
-        )
-    n = len(rows)
-    yield pa.RecordBatch.from_arrays(
-        [pa.nulls(n, pa.string()), pa.array(np.array(rows) % 1_000_003, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(rows, pa.int64()), pa.array(special, pa.int64())],
-        schema=_POSTINGS,
-    )
+    ends = np.concatenate([[0], np.cumsum(counts) * 4]).astype(np.int32)
+    blobs = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed)])
+    return list(seen), counts, blobs, special
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per input row: ``id_col, n_bytes, n_tokens``.
 
-    Null text counts as empty: no bytes, no tokens. Rows are told apart by their place in the scan, so null and
+    Null text counts as empty: no bytes, no tokens. Rows are told apart by their place in their block, so null and
     repeated ids keep a row each. An empty table gives an empty result.
     """
     path = path or wordbpe.default_path()
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    kind = rows.schema["id"].dataType.simpleString()
+    first = "word string, salt int, block long, postings binary, ids array<{0}>, bytes array<bigint>, special array<bigint>".format(kind)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = wordbpe.load(path)
-        rows, texts, chars = [], [], 0
+        block, ids, texts, chars = 0, [], [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            words, counts, blobs, special = _postings(texts, bpe)
+            n, salt = len(words), block % 1_000_003
+            hot = np.where(counts > max(32, HOT_SHARE * len(texts)), salt % SALTS + 1, 0).astype(np.int32)
+            sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+            none = [pa.nulls(n, t) for t in (id_type, pa.list_(pa.int64()), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(hot), pa.array(np.full(n, block)), blobs, *none], names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.string()), pa.array([salt], pa.int32()), pa.array([block]), pa.nulls(1, pa.binary()), pa.array([ids], id_type), pa.array([sizes], none[1].type), pa.array([special], none[1].type)],
+                names,
+            )
+
+        names = [f.split()[0] for f in first.split(", ")]
         for batch in batches:
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
+            id_type = pa.list_(batch.schema.field("id").type)
+            for row, key, text in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), batch.column("text")):
                 text = text.as_py()
-                if texts and (chars + len(text) > BLOCK_CHARS or len(texts) == BLOCK_DOCS or row != rows[-1] + 1):
-                    yield from _block(rows, texts, bpe)
-                    rows, texts, chars = [], [], 0
-                rows.append(row)
+                if texts and (chars + len(text) > BLOCK_CHARS or len(texts) == BLOCK_DOCS):
+                    yield from done()
+                    ids, texts, chars = [], [], 0
+                if not texts:
+                    block = row
+                ids.append(key)
                 texts.append(text)
                 chars += len(text)
         if texts:
-            yield from _block(rows, texts, bpe)
+            yield from done()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = wordbpe.load(path)
         last, n, held, size = None, 0, [], 0
+        names = ["block", "sums", "ids", "bytes", "special"]
 
         def flush() -> pa.RecordBatch:
-            rows, which = np.unique(np.concatenate([r for r, _ in held]), return_inverse=True)
-            sums = np.bincount(which, np.concatenate([t for _, t in held]).astype(np.float64), len(rows))
-            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums.astype(np.int64))], schema=_SUMS)
+            """One row per block seen, with packed (document, tokens) pairs."""
+            block, doc, tokens = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((doc, block))
+            block, doc, tokens = block[order], doc[order], tokens[order]
+            starts = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])]))
+            pairs = np.stack([doc[starts], np.add.reduceat(tokens, starts)], 1).astype("<u4")
+            block = block[starts]
+            edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            sums = [pairs[a:z].tobytes() for a, z in zip(edges, [*edges[1:], len(block)])]
+            none = [pa.nulls(len(sums), t) for t in meta]
+            return pa.RecordBatch.from_arrays([pa.array(block[edges]), pa.array(sums, pa.binary()), *none], names)
 
         for batch in batches:
+            meta = [batch.schema.field(c).type for c in names[2:]]
             words, blobs = batch.column("word").to_pylist(), batch.column("postings")
             each = np.zeros(len(words), np.int64)
             for k, word in enumerate(words):
@@ -111,32 +127,50 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     if word != last:
                         last, n = word, len(bpe.parts(word))
                     each[k] = n
+            whole = batch.filter(blobs.is_null())
+            if whole.num_rows:
+                yield pa.RecordBatch.from_arrays([whole.column("block"), pa.nulls(whole.num_rows, pa.binary()), *(whole.column(c) for c in names[2:])], names)
             full = np.flatnonzero(blobs.is_valid().to_numpy(zero_copy_only=False))
             if len(full):
                 parts = blobs.take(pa.array(full)).to_pylist()
                 lens = np.array([len(p) // 4 for p in parts])
                 posting = np.frombuffer(b"".join(parts), "<u4").astype(np.int64)
-                base = np.repeat(batch.column("base").take(pa.array(full)).to_numpy(), lens)
-                held.append((base + (posting >> FREQ_BITS), (posting & ((1 << FREQ_BITS) - 1)) * np.repeat(each[full], lens)))
+                block = np.repeat(batch.column("block").take(pa.array(full)).to_numpy(), lens)
+                held.append((block, posting >> FREQ_BITS, (posting & ((1 << FREQ_BITS) - 1)) * np.repeat(each[full], lens)))
                 size += len(posting)
-            rest = batch.column("row").is_valid()
-            if rest.true_count:
-                held.append((batch.column("row").drop_null().to_numpy(), batch.column("tokens").drop_null().to_numpy()))
-                size += rest.true_count
             if size >= FLUSH_POSTINGS:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
 
-    meet = rows.select("row", "text").mapInArrow(frequencies, "word string, salt int, base long, postings binary, row long, tokens long")
-    sums = meet.repartition("word", "salt").sortWithinPartitions("word").mapInArrow(pieces, "row long, tokens long")
-    sums = sums.groupBy("row").agg(F.sum("tokens").alias("n_tokens"))
-    return (
-        rows.select("row", "id", F.octet_length("text").cast("long").alias("n_bytes"))
-        .join(sums, "row")
-        .select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
-    )
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tokens, own = None, np.zeros(BLOCK_DOCS, np.int64), None
+
+        def done() -> pa.RecordBatch:
+            ids, size, special = own
+            n = tokens[: len(ids)] + special.to_numpy()
+            return pa.RecordBatch.from_arrays([ids, size, pa.array(n)], ["id", "n_bytes", "n_tokens"])
+
+        for batch in batches:
+            for k, block in enumerate(batch.column("block").to_pylist()):
+                if block != now:
+                    if now is not None:
+                        yield done()
+                    now, tokens, own = block, np.zeros(BLOCK_DOCS, np.int64), None
+                pairs = batch.column("sums")[k]
+                if pairs.is_valid:
+                    pairs = np.frombuffer(pairs.as_py(), "<u4").reshape(-1, 2).astype(np.int64)
+                    tokens[pairs[:, 0]] += pairs[:, 1]
+                else:
+                    own = [batch.column(c)[k].values for c in ("ids", "bytes", "special")]
+        if now is not None:
+            yield done()
+
+    meet = rows.mapInArrow(frequencies, first).repartition("word", "salt").sortWithinPartitions("word")
+    packed = meet.mapInArrow(pieces, f"block long, sums binary, ids array<{kind}>, bytes array<bigint>, special array<bigint>")
+    blocks = packed.repartition("block").sortWithinPartitions("block")
+    return blocks.mapInArrow(sums, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> DataFrame:
