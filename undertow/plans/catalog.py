@@ -1,6 +1,411 @@
-"""Registered queries of the iteration engine and their SQL."""
+"""Registered queries of the iteration engine, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from undertow.functions import measures
+from undertow.lineage import cut
+from undertow.operators import graph as g
+from undertow.operators import relabel, schedule
+from undertow.operators.accumulate import MAX, MIN, SUM
+from undertow.plans import programs
+from undertow.plans.engine import progress
+from undertow.sources import adjacency, generate
+
+#: Edge lists derived from the tables; the same text runs in Spark and DuckDB.
+PART_LEADS = """select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst
+  from {lineitem}"""
+PART_EDGES = f"""select distinct src, dst, 1 + ((src*31 + dst*17) % 100) / cast(10.0 as double) as weight
+  from ({PART_LEADS}) t where dst is not null and src <> dst"""
+USER_EDGES = """select distinct src, dst
+  from (select user_id as src, lead(user_id) over (order by event_id) as dst from {events} where event_type = 'purchase') t
+  where dst is not null and src <> dst"""
+CHAIN_EDGES = """select src, dst
+  from (select c_custkey as src, lead(c_custkey) over (partition by c_nationkey order by c_custkey) as dst from {customer}) t
+  where dst is not null"""
+PARTS = "select p_partkey as k from {part}"
+USERS = "select distinct user_id as k from {events}"
+CUSTOMERS = "select c_custkey as k from {customer}"
+#: A state made from part: value and pending change of each vertex; the last row of three has reached nothing.
+STATE = "select p_partkey as k, cast(p_size as double) as value, cast(p_partkey % 60 - 10 as double) as delta from {part}"
+TABLES = ("customer", "events", "lineitem", "orders", "part")
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return spark.sql(text.format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}))
+
+
+def _duck(text: str) -> str:
+    return text.format(**{t: t for t in TABLES})
+
+
+def query(oracle: str | None = None):
+    """Registers a function (spark, sf_dir) under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = _duck(oracle)
+        return f
+
+    return add
+
+
+def _parts(spark, sf_dir) -> g.Graph:
+    return g.Graph.of(_sql(spark, sf_dir, PART_EDGES), _sql(spark, sf_dir, PARTS))
+
+
+def _users(spark, sf_dir) -> g.Graph:
+    return g.Graph.of(_sql(spark, sf_dir, USER_EDGES), _sql(spark, sf_dir, USERS))
+
+
+def _chains(spark, sf_dir) -> g.Graph:
+    return g.Graph.of(_sql(spark, sf_dir, CHAIN_EDGES), _sql(spark, sf_dir, CUSTOMERS))
+
+
+def _values(result) -> DataFrame:
+    return result.final().select("k", F.round("value", 6).alias("value"))
+
+
+def _sum_rounds(edges: str, start: str, coefficient: str, rounds: int, vertices: str) -> str:
+    """SQL for the sum of all changes of ``rounds`` rounds; the coefficient is of e and n, the out-degree."""
+    return f"""with recursive e as ({edges}), n as (select src, count(*) as n, sum(weight) as total from e group by src),
+  c as (select e.src, e.dst, {coefficient} as c from e join n on n.src = e.src),
+  v as ({vertices}), d(k, delta, i) as (
+    select k, {start}, 0 from v
+    union all
+    select c.dst, sum(d.delta * c.c), d.i + 1 from d join c on c.src = d.k where d.i < {rounds} group by c.dst, d.i + 1)
+  select k, round(sum(delta), 6) as value from d group by k"""
+
+
+def _best_rounds(edges: str, start: str, best: str, step: str, rounds: int, vertices: str) -> str:
+    return f"""with recursive e as ({edges}), v as ({vertices}), d(k, delta, i) as (
+    select k, cast({start} as double), 0 from v where ({start}) is not null
+    union all
+    select e.dst, {best}(d.delta + {step}), d.i + 1 from d join e on e.src = d.k where d.i < {rounds} group by e.dst, d.i + 1)
+  select v.k, round({best}(d.delta), 6) as value from v left join d on d.k = v.k group by v.k"""
+
+
+PAGERANK_10 = _sum_rounds(PART_EDGES, "cast(0.2 as double)", "0.8 / n.n", 10, PARTS)
+
+
+@query(PAGERANK_10)
+def pagerank_k10(spark, sf_dir):
+    return _values(programs.pagerank(_parts(spark, sf_dir), rounds=10))
+
+
+@query("select cast(count(*) as double) as total from {part}")
+def pagerank_converged_total(spark, sf_dir):
+    done = programs.pagerank(_parts(spark, sf_dir), eps=1e-2, max_rounds=200)
+    return done.final().agg(F.round(F.sum("value"), 1).alias("total"))
+
+
+SHORTEST = _best_rounds(PART_EDGES, "case when k = 0 then 0.0 end", "min", "e.weight", 12, PARTS)
+
+
+@query(SHORTEST)
+def shortest_path_k12(spark, sf_dir):
+    return _values(programs.shortest_path(_parts(spark, sf_dir), source=0, rounds=12))
+
+
+@query(_best_rounds(USER_EDGES, "case when k = 0 then 0.0 end", "min", "1.0", 12, USERS))
+def hop_distance(spark, sf_dir):
+    return _values(programs.shortest_path(_users(spark, sf_dir), source=0, unweighted=True, rounds=12))
+
+
+@query(_best_rounds(CHAIN_EDGES, "case when k = 0 then 0.0 end", "min", "1.0", 20, CUSTOMERS))
+def chain_distance_k20(spark, sf_dir):
+    return _values(programs.shortest_path(_chains(spark, sf_dir), source=0, unweighted=True, rounds=20))
+
+
+@query(_sum_rounds(PART_EDGES, "case when k = 0 then cast(1000.0 as double) else 0.0 end", "0.01", 8, PARTS))
+def katz_k8(spark, sf_dir):
+    return _values(programs.katz(_parts(spark, sf_dir), source=0, beta=0.01, seed=1000.0, rounds=8))
+
+
+@query(_sum_rounds(PART_EDGES, "case when k < 100 then cast(10.0 as double) else 0.0 end", "0.1 * (e.weight / n.total)", 8, PARTS))
+def adsorption_k8(spark, sf_dir):
+    parts = _parts(spark, sf_dir)
+    return _values(programs.adsorption(g.Graph(parts.vertices, g.normalised(parts.edges)), rounds=8))
+
+
+@query(_best_rounds(USER_EDGES, "k", "max", "0.0", 8, USERS))
+def max_value_k8(spark, sf_dir):
+    return _values(programs.max_value(_users(spark, sf_dir), rounds=8))
+
+
+@query("select c_custkey as k, cast(max(c_custkey) over (partition by c_nationkey) as double) as value from {customer}")
+def components(spark, sf_dir):
+    """Component labels; a chain of 600 links takes as many rounds, so this is the slow way that the engine has."""
+    chains = _chains(spark, sf_dir)
+    # links to the vertex 2, 4, 8, ... places further along shorten the paths and leave the components as they are
+    links = cut(chains.edges.select("src", "dst"))
+    every, reach = links, links
+    for _ in range(10):
+        far = reach.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
+        reach = cut(reach.join(far, "dst").select("src", F.col("far").alias("dst")))
+        every = every.unionByName(reach)
+    return _values(programs.components(g.Graph.of(every, chains.vertices)))
+
+
+@query(f"select src as k, count(*) as degree from ({PART_EDGES}) e group by src")
+def out_degree(spark, sf_dir):
+    return g.out_degree(_sql(spark, sf_dir, PART_EDGES))
+
+
+@query(f"select dst as k, count(*) as degree from ({PART_EDGES}) e group by dst")
+def in_degree(spark, sf_dir):
+    return g.in_degree(_sql(spark, sf_dir, PART_EDGES))
+
+
+@query(f"""select cast(floor(ln(degree / 1e-9 + 1.1) / ln(1.1)) + 1 as bigint) as bucket, count(*) as n
+  from (select count(*) as degree from ({PART_EDGES}) e group by src) t group by 1""")
+def degree_log_histogram(spark, sf_dir):
+    return measures.log_histogram(g.out_degree(_sql(spark, sf_dir, PART_EDGES)), "degree")
+
+
+@query(f"""with e as ({PART_EDGES}), s as ({STATE}) select e.dst as k, sum(s.delta + floor(e.weight)) as m
+  from s join e on e.src = s.k where s.delta <> 0 group by e.dst""")
+def one_round_messages(spark, sf_dir):
+    active = _sql(spark, sf_dir, STATE).filter(SUM.active(F.col("delta")))
+    sent = g.expand(active, _sql(spark, sf_dir, PART_EDGES), F.col("delta") + F.floor("weight"))
+    return sent.groupBy("k").agg(F.sum("m").alias("m"))
+
+
+@query(f"""with e as ({PART_EDGES}), s as ({STATE}), m as (select e.dst as k, sum(s.delta) as m from s join e on e.src = s.k group by e.dst)
+  select s.k, s.value, s.delta + coalesce(m.m, 0) as delta from s left join m on m.k = s.k""")
+def apply_messages(spark, sf_dir):
+    state = _sql(spark, sf_dir, STATE)
+    return g.apply_messages(state, g.expand(state, _sql(spark, sf_dir, PART_EDGES), F.col("delta")), SUM)
+
+
+def _combine(accumulator):
+    def f(spark, sf_dir):
+        return _sql(spark, sf_dir, "select o_custkey as k, o_totalprice from {orders}").groupBy("k").agg(
+            F.round(accumulator.aggregate(F.col("o_totalprice")), 2).alias("value")
+        )
+
+    f.__name__ = f"combine_{accumulator.name}"
+    return query(f"select o_custkey as k, round({accumulator.name}(o_totalprice), 2) as value from {{orders}} group by o_custkey")(f)
+
+
+PRIORITIES = {"min": "value - least(value, delta)", "max": "greatest(value, delta) - value", "sum": "delta"}
+
+
+def _priority(accumulator):
+    def f(spark, sf_dir):
+        return _sql(spark, sf_dir, STATE).select("k", accumulator.priority(F.col("value"), F.col("delta")).alias("prio"))
+
+    f.__name__ = f"priority_{accumulator.name}"
+    return query(f"select k, {PRIORITIES[accumulator.name]} as prio from ({STATE}) s")(f)
+
+
+def _accumulate(accumulator):
+    def f(spark, sf_dir):
+        return _sql(spark, sf_dir, STATE).select("k", accumulator.combine(F.col("value"), F.col("delta")).alias("value"))
+
+    f.__name__ = f"accumulate_{accumulator.name}"
+    both = {"min": "least(value, delta)", "max": "greatest(value, delta)", "sum": "value + delta"}
+    return query(f"select k, {both[accumulator.name]} as value from ({STATE}) s")(f)
+
+
+for _a in (MIN, MAX, SUM):
+    _combine(_a)
+    _priority(_a)
+    _accumulate(_a)
+
+
+@query(f"select k, value, delta from ({STATE}) s where delta <> 0")
+def active_filter(spark, sf_dir):
+    return _sql(spark, sf_dir, STATE).filter(SUM.active(F.col("delta")))
+
+
+@query(f"select k, value from ({STATE}) s where k in (1, 7, 50)")
+def point_lookup(spark, sf_dir):
+    return _sql(spark, sf_dir, STATE).filter(F.col("k").isin(1, 7, 50)).select("k", "value")
+
+
+@query(f"select sum(value) as progress from ({STATE}) s where value <> 0")
+def progress_sum(spark, sf_dir):
+    return _sql(spark, sf_dir, STATE).agg(progress(F.col("value"), SUM).alias("progress"))
+
+
+@query(f"select sum(delta) as sum_delta, sum(value) as sum_value from ({STATE}) s")
+def result_totals(spark, sf_dir):
+    return _sql(spark, sf_dir, STATE).agg(F.sum("delta").alias("sum_delta"), F.sum("value").alias("sum_value"))
+
+
+RANKED = f"select k, delta as prio, row_number() over (order by delta desc, k) - 1 as place, count(*) over () as n from ({STATE}) s"
+
+
+@query(f"select prio as threshold from ({RANKED}) t where place = cast(floor(n * 0.1) as bigint)")
+def portion_threshold(spark, sf_dir):
+    rows = _sql(spark, sf_dir, STATE).select(F.col("delta").alias("prio"))
+    t, _ = schedule.portion_threshold(rows, 0.1, exact=True)
+    return spark.range(1).select(F.lit(float(t)).alias("threshold"))
+
+
+@query(f"select min(delta) as threshold from (select delta from ({STATE}) s order by delta desc limit 128) t")
+def topk_threshold(spark, sf_dir):
+    return spark.range(1).select(F.lit(float(schedule.topk_threshold(_sql(spark, sf_dir, STATE), 128))).alias("threshold"))
+
+
+@query(f"""with t as (select prio from ({RANKED}) r where place = cast(floor(n * 0.1) as bigint)), m as (select max(delta) as m from ({STATE}) s)
+  select k, delta from ({STATE}) s, t, m where delta <> 0 and (delta > t.prio or (delta = t.prio and m.m = t.prio)) and abs(delta) >= 20""")
+def scheduled_filter(spark, sf_dir):
+    rows = _sql(spark, sf_dir, STATE).withColumn("active", SUM.active(F.col("delta"))).withColumn("prio", F.col("delta"))
+    portion = schedule.Portion(0.1, exact=True, small=0).select(rows)
+    return rows.filter(portion & schedule.MinDelta(20).select(rows)).select("k", "delta")
+
+
+@query("select p_partkey % 4 as part, count(*) as n from {part} group by 1")
+def mod_partition_sizes(spark, sf_dir):
+    return measures.part_sizes(_sql(spark, sf_dir, PARTS), 4)
+
+
+@query(f"select src as k, count(*) filter (where src % 4 = dst % 4) as n from ({PART_EDGES}) e group by src")
+def self_link_count(spark, sf_dir):
+    return measures.self_link_count(_sql(spark, sf_dir, PART_EDGES), 4)
+
+
+@query(f"select src % 4 as src_part, dst % 4 as dst_part, count(*) as n from ({PART_EDGES}) e group by 1, 2")
+def edge_cut_by_partition(spark, sf_dir):
+    return measures.edge_cut(_sql(spark, sf_dir, PART_EDGES), 4)
+
+
+NAMES = """select k as old, case when place < cut then place * 2 else (place - cut) * 2 + 1 end as new, case when place < cut then 0 else 1 end as part
+  from (select p_partkey as k, row_number() over (order by p_partkey) - 1 as place, cast(ceil(count(*) over () * 20 / 100.0) as bigint) as cut from {part}) t"""
+
+
+@query(f"select old, new, part from ({NAMES}) n")
+def uneven_map(spark, sf_dir):
+    return relabel.uneven_map(_sql(spark, sf_dir, PARTS), [20, 80])
+
+
+@query(f"with n as ({NAMES}), e as ({PART_EDGES}) select a.new as src, b.new as dst from e join n a on a.old = e.src join n b on b.old = e.dst")
+def uneven_relabel_edges(spark, sf_dir):
+    names = relabel.uneven_map(_sql(spark, sf_dir, PARTS), [20, 80])
+    return relabel.relabel_edges(_sql(spark, sf_dir, PART_EDGES).select("src", "dst"), names)
+
+
+@query(SHORTEST)
+def unrelabel_results(spark, sf_dir):
+    """Renaming, running and renaming back is running."""
+    parts = _parts(spark, sf_dir)
+    names = cut(relabel.uneven_map(parts.vertices, [20, 80]))
+    renamed = g.Graph(names.select(F.col("new").alias("k")), relabel.relabel_edges(parts.edges, names))
+    return relabel.unrelabel(_values(programs.shortest_path(renamed, source=0, rounds=12)), names)
+
+
+def _line(link: str, edges: str, head: str = "''") -> str:
+    return f"select src as k, src || chr(9) || {head} || string_agg({link} || ' ', '' order by dst) as line from ({edges}) e group by src"
+
+
+@query(_line("dst", PART_EDGES))
+def adjacency_lines(spark, sf_dir):
+    return adjacency.adjacency_lines(_sql(spark, sf_dir, PART_EDGES))
+
+
+@query(_line("dst", PART_EDGES, "'1:'"))
+def adjacency_lines_tagged(spark, sf_dir):
+    return adjacency.adjacency_lines(_sql(spark, sf_dir, PART_EDGES), tag="plain")
+
+
+WHOLE = f"select src, dst, floor(weight) as weight from ({PART_EDGES}) e"
+
+
+@query(_line("dst || ',' || cast(weight as bigint)", WHOLE))
+def weighted_adjacency_lines(spark, sf_dir):
+    return adjacency.adjacency_lines(_sql(spark, sf_dir, WHOLE), weighted=True)
+
+
+@query(_line("dst || ',' || cast(weight as bigint)", WHOLE, "case when src = 0 then 'f0:' else 'p:' end"))
+def weighted_adjacency_lines_tagged(spark, sf_dir):
+    return adjacency.adjacency_lines(_sql(spark, sf_dir, WHOLE).withColumn("weight", F.col("weight").cast("double")), weighted=True, tag="source")
+
+
+@query(f"select src, dst from ({PART_EDGES}) e")
+def parse_adjacency(spark, sf_dir):
+    lines = adjacency.adjacency_lines(_sql(spark, sf_dir, PART_EDGES)).select(F.col("line").alias("value"))
+    return adjacency.parse_lines(lines, strict=True)
+
+
+@query(f"select src, dst, cast(weight as double) as weight from ({WHOLE}) e")
+def weighted_text_round_trip(spark, sf_dir):
+    from undertow.lineage import shared_dir
+
+    path = f"{shared_dir(spark)}/undertow/lines-{abs(hash(sf_dir))}"
+    lines = adjacency.adjacency_lines(_sql(spark, sf_dir, WHOLE), weighted=True, tag="source")
+    lines.select("line").write.mode("overwrite").text(path)
+    return adjacency.read_adjacency(spark, path, weighted=True, strict=True)[1]
+
+
+@query(f"select k, k || chr(9) || cast(delta as bigint) || '|' || cast(value as bigint) as line from ({STATE}) s")
+def result_lines(spark, sf_dir):
+    return adjacency.result_lines(_sql(spark, sf_dir, STATE))
+
+
+@query(f"select p_partkey as k from {{part}} union select src from ({PART_EDGES}) e union select dst from ({PART_EDGES}) f")
+def vertex_closure(spark, sf_dir):
+    return g.vertex_closure(_sql(spark, sf_dir, PART_EDGES), _sql(spark, sf_dir, PARTS))
+
+
+@query(f"select distinct src, dst from ({PART_LEADS}) t where dst is not null")
+def dedup_links(spark, sf_dir):
+    return g.dedup_links(_sql(spark, sf_dir, PART_LEADS).filter("dst IS NOT NULL"))
+
+
+@query(f"select src, dst from ({USER_EDGES}) e union select dst, src from ({USER_EDGES}) f")
+def symmetrize(spark, sf_dir):
+    return g.symmetrize(_sql(spark, sf_dir, USER_EDGES))
+
+
+@query(f"""with recursive e as ({USER_EDGES}), d(k, i) as (
+    select k, 0 from ({USERS}) u where k = 0
+    union all
+    select distinct e.dst, d.i + 1 from d join e on e.src = d.k where d.i < 2)
+  select cast(i + 1 as bigint) as round, count(*) as n_sent from (
+    select i, k from d where not exists (select 1 from d earlier where earlier.k = d.k and earlier.i < d.i)) t group by i""")
+def update_counters(spark, sf_dir):
+    done = programs.shortest_path(_users(spark, sf_dir), source=0, unweighted=True, rounds=3, metrics=True)
+    return done.metrics_frame().select("round", "n_sent")
+
+
+@query()
+def generate_graph(spark, sf_dir):
+    return generate.generate(spark, 2000, weighted=True, seed=7, partitions=4)
+
+
+@query(SHORTEST)
+def portion_equals_full(spark, sf_dir):
+    done = programs.shortest_path(_parts(spark, sf_dir), source=0, schedule=schedule.Portion(0.25, small=0), max_rounds=200)
+    return _values(done)
+
+
+@query(SHORTEST)
+def topk_equals_full(spark, sf_dir):
+    done = programs.shortest_path(_parts(spark, sf_dir), source=0, schedule=schedule.TopK(500), max_rounds=200)
+    return _values(done)
+
+
+@query(PAGERANK_10)
+def resume_equals_straight(spark, sf_dir):
+    parts = _parts(spark, sf_dir)
+    half = programs.pagerank(parts, rounds=5)
+    return _values(programs.pagerank(parts, rounds=10, start=half.state, done_rounds=5))
+
+
+@query("select cast(count(*) as double) as total from {part}")
+def pending_mass_invariant(spark, sf_dir):
+    state = programs.pagerank(_parts(spark, sf_dir), rounds=4).pending()
+    return state.agg(F.round(F.sum("value") + F.sum("delta") / 0.2, 6).alias("total"))
+
+
+@query(SHORTEST.replace("select v.k", "select * from (select v.k", 1) + ") r order by value desc nulls last, k limit 20")
+def top_k_result(spark, sf_dir):
+    return programs.top_k(_values(programs.shortest_path(_parts(spark, sf_dir), source=0, rounds=12)), 20)
