@@ -15,8 +15,8 @@ from undertow.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """``docs`` whose id has a row with ``kept`` in ``verdicts``."""
-    kept = verdicts.filter("kept").select(F.col("doc_id").alias("v_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("v_id")), "left_semi")
+    kept = verdicts.filter("kept").select(F.col("doc_id").alias("__v_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__v_id")), "left_semi")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +36,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it; those it takes no time go."""
-    taken = mixing.mix(docs).filter("repeats > 0").groupBy(F.col("doc_id").alias("v_id")).agg(F.max("repeats").alias("v_repeats"))
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("v_id")))
-    return out.withColumn("v_repeat", F.explode(F.sequence(F.lit(1), F.col("v_repeats").cast("int")))).select(*docs.columns)
+    taken = mixing.mix(docs).filter("repeats > 0").groupBy(F.col("doc_id").alias("__v_id")).agg(F.max("repeats").alias("__v_repeats"))
+    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__v_id")))
+    return out.withColumn("__v_repeat", F.explode(F.sequence(F.lit(1), F.col("__v_repeats").cast("int")))).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,7 +74,8 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
 
     ``messages``: tree, node, parent, role, text, score. Returns tree, leaf, rank, score, n_turns, formatted and spans,
     the places (start from 1, chars) of escaped assistant texts in ``formatted``, which are the loss mask. Ties in
-    score go to the smaller leaf. Null roles and texts are empty, null scores 0. No messages give no rows.
+    score go to the smaller leaf. Null roles and texts are empty, null scores 0; tree and node are never null, and node
+    is unique within its tree (see ``conversations`` for flat rows with any ids). No messages give no rows.
     """
     paths = tree_paths(messages)
     said = messages.select(
@@ -125,8 +126,12 @@ def parse(formatted: Column) -> Column:
 
 
 def conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
-    """Flat conversations as reply trees: each row answers the one before it, by turn and then role and text."""
-    rows = rows.select(F.col(conv_col).alias("tree"), F.col(turn_col).alias("turn"), "role", "text")
+    """Flat conversations as reply trees: each row answers the one before it, by turn and then role and text.
+
+    ``tree`` is the id as text after an ``=``; rows with a null id are one conversation, ``null``.
+    """
+    tree = F.coalesce(F.concat(F.lit("="), F.col(conv_col).cast("string")), F.lit("null"))
+    rows = rows.select(tree.alias("tree"), F.col(turn_col).alias("turn"), "role", "text")
     w = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     rows = rows.withColumn("node", F.row_number().over(w).cast("long"))
     return rows.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(1.0))
@@ -137,13 +142,13 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql("SELECT -7L AS conv_id, 0L AS turn, 'user' AS role UNION ALL SELECT -7L, 1L, 'assistant'")
     rows = rows.unionByName(extra.withColumn("text", F.lit(control)))
-    messages = cut(conversations(rows).filter("tree IS NOT NULL"))
+    messages = cut(conversations(rows))
     said = format_trees(messages)
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform("spans", lambda s: unescape(F.substr("formatted", s["start"].cast("int"), s["chars"].cast("int")))), "")
     said = said.withColumn("turns", parse(F.col("formatted"))).withColumn("loss", loss)
     return said.select(
-        F.col("tree").alias("conv_id"),
+        F.when(F.col("tree") != "null", F.substr("tree", F.lit(2)).cast("long")).alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(turns, 256).alias("turns_sha256"),
         F.char_length("loss").cast("long").alias("loss_chars"),
@@ -154,7 +159,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH c AS (
-  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), e AS (
   SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\e') AS body FROM c

@@ -65,7 +65,7 @@ class Index:
             return self
         self.blocks = max(1, -(-len(self.ids) // BLOCK))
         edges = np.arange(self.blocks + 1) * BLOCK
-        self.starts = np.array([np.searchsorted(e, edges) for e, _ in self.postings], np.int64).reshape(len(self.postings), -1)
+        self.starts = np.array([np.searchsorted(e, edges) for e, _ in self.postings], np.int64).reshape(len(self.postings), len(edges))
         self.most = np.zeros((len(self.postings), self.blocks))
         for t, (examples, weights) in enumerate(self.postings):
             np.maximum.at(self.most[t], examples // BLOCK, weights)
