@@ -99,6 +99,7 @@ def run(
         graph.edges.join(degree, "src")
         .select("src", "dst", program.coefficient.cast("double").alias("coefficient"))
         .repartition("src")
+        .sortWithinPartitions("src")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     if start is None:
