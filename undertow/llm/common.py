@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from undertow.lineage import cut, shared_dir
+
+__all__ = ["WORD", "WS", "code_points", "cut", "is_empty", "read", "shared_dir", "utf8", "word_count"]
+
 #: The ASCII white space that separates words in every contract here.
 WS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,39 +18,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    own = getattr(spark, "_undertow_shared", None)
-    if own is None:
-        own = spark._undertow_shared = "file://" + tempfile.mkdtemp(prefix="undertow-")
-    return own
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone at exit; the folder is scratch space
-        pass
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
-
-    This ends the lineage: later jobs, and tasks rerun after a lost executor, start from these files.
-    The files go when the driver's process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/undertow/{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_count(text: Column) -> Column:
     """Number of words (runs of anything but ASCII white space); null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
