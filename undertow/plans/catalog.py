@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.functions import measures
-from undertow.lineage import cut
+from undertow.lineage import cut, delete, shared_dir
 from undertow.operators import graph as g
-from undertow.operators import relabel, schedule
+from undertow.operators import relabel, schedule, table
 from undertow.operators.accumulate import MAX, MIN, SUM
 from undertow.plans import programs
-from undertow.plans.engine import progress
+from undertow.plans.engine import Program, progress
 from undertow.sources import adjacency, generate
+from undertow.streaming import incremental
 
 #: Edge lists derived from the tables; the same text runs in Spark and DuckDB.
 PART_LEADS = """select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst
@@ -337,8 +340,6 @@ def parse_adjacency(spark, sf_dir):
 
 @query(f"select src, dst, cast(weight as double) as weight from ({WHOLE}) e")
 def weighted_text_round_trip(spark, sf_dir):
-    from undertow.lineage import shared_dir
-
     path = f"{shared_dir(spark)}/undertow/lines-{abs(hash(sf_dir))}"
     lines = adjacency.adjacency_lines(_sql(spark, sf_dir, WHOLE), weighted=True, tag="source")
     lines.select("line").write.mode("overwrite").text(path)
@@ -409,3 +410,86 @@ def pending_mass_invariant(spark, sf_dir):
 @query(SHORTEST.replace("select v.k", "select * from (select v.k", 1) + ") r order by value desc nulls last, k limit 20")
 def top_k_result(spark, sf_dir):
     return programs.top_k(_values(programs.shortest_path(_parts(spark, sf_dir), source=0, rounds=12)), 20)
+
+
+NEW_ROWS = """select o_custkey as k, cast(o_orderkey as double) as value, cast(o_totalprice as double) as delta from {orders} where o_custkey < 900"""
+
+
+@query(f"""with s as ({STATE}), n as (select k, max_by(value, value) as value, max_by(delta, value) as delta from ({NEW_ROWS}) r group by k)
+  select k, value, delta from s where k not in (select k from n) union all select k, value, delta from n""")
+def table_put(spark, sf_dir):
+    return table.put(_sql(spark, sf_dir, STATE), _sql(spark, sf_dir, NEW_ROWS), F.col("value"))
+
+
+@query(f"select k, value, case when k % 3 = 0 then 7.0 else delta end as delta from ({STATE}) s")
+def table_update(spark, sf_dir):
+    rows = _sql(spark, sf_dir, "select p_partkey as k, cast(7.0 as double) as delta from {part} where p_partkey % 3 = 0 union all select -1, 1.0")
+    return table.update(_sql(spark, sf_dir, STATE), rows, "delta")
+
+
+@query(f"select k, value, delta from ({STATE}) s where k % 3 <> 0")
+def table_remove(spark, sf_dir):
+    return table.remove(_sql(spark, sf_dir, STATE), _sql(spark, sf_dir, PARTS).filter("k % 3 = 0"))
+
+
+@query("select c_custkey as k, c_custkey in (select p_partkey from {part} where p_partkey % 2 = 0) as found from {customer}")
+def table_contains(spark, sf_dir):
+    return table.contains(_sql(spark, sf_dir, PARTS).filter("k % 2 = 0"), _sql(spark, sf_dir, CUSTOMERS))
+
+
+@query("select max(n) as largest, min(n) as smallest, avg(n) as average from (select p_partkey % 7 as part, count(*) as n from {part} group by 1) t")
+def part_size_summary(spark, sf_dir):
+    sizes = measures.part_sizes(_sql(spark, sf_dir, PARTS), 7)
+    return sizes.agg(F.max("n").alias("largest"), F.min("n").alias("smallest"), F.avg("n").alias("average"))
+
+
+@query(f"select k, round(value + case when k = 0 then 1000.0 else 0.0 end, 6) as value from ({_sum_rounds(PART_EDGES, 'case when k = 0 then cast(1000.0 as double) else 0.0 end', '0.01', 4, PARTS)}) t")
+def katz_double_seed_k4(spark, sf_dir):
+    return _values(programs.katz(_parts(spark, sf_dir), source=0, beta=0.01, seed=1000.0, double_seed=True, rounds=4))
+
+
+@query(f"select k, greatest(value, cast(k as double)) as value from ({_best_rounds(USER_EDGES, 'case when k = 140 then 0 else k end', 'max', '0.0', 8, USERS)}) t")
+def max_value_source_k8(spark, sf_dir):
+    return _values(programs.max_value(_users(spark, sf_dir), source=140, rounds=8))
+
+
+@query("""select cast(i + 1 as bigint) as round, n as n_active, n as n_sent, round(n * (1 - pow(0.8, i)), 4) as progress
+  from (select count(*) as n from {part}) p, (select unnest(range(0, 5)) as i) r""")
+def pagerank_progress(spark, sf_dir):
+    told = programs.pagerank(_parts(spark, sf_dir), rounds=5, metrics=True).metrics_frame()
+    return told.select("round", "n_active", "n_sent", F.round("progress", 4).alias("progress"))
+
+
+@query(f"select cast(floor(ln(weight / 1e-9 + 1.1) / ln(1.1)) + 1 as bigint) as bucket, count(*) as n from ({WHOLE}) e group by 1")
+def weight_log_histogram(spark, sf_dir):
+    return measures.log_histogram(_sql(spark, sf_dir, WHOLE).withColumn("weight", F.col("weight").cast("double")), "weight")
+
+
+@query(f"select e.dst as k, round(sum(s.delta * 0.01), 6) as m from ({STATE}) s join ({PART_EDGES}) e on e.src = s.k where abs(s.delta * 0.01) >= 0.25 group by e.dst")
+def small_messages_dropped(spark, sf_dir):
+    sent = g.expand(_sql(spark, sf_dir, STATE), _sql(spark, sf_dir, PART_EDGES), F.col("delta") * 0.01).filter(F.abs("m") >= 0.25)
+    return sent.groupBy("k").agg(F.round(F.sum("m"), 6).alias("m"))
+
+
+@query()
+def sampled_threshold(spark, sf_dir):
+    t, inclusive = schedule.portion_threshold(_sql(spark, sf_dir, STATE).select(F.col("delta").alias("prio")), 0.1, exact=True, seed=11)
+    return spark.range(1).select(F.lit(float(t)).alias("threshold"), F.lit(inclusive).alias("inclusive"))
+
+
+@query(f"""with recursive e as ({USER_EDGES}), d(k, m) as (
+    select user_id, event_id from {{events}} where event_type = 'purchase' and user_id % 10 = 0
+    union
+    select e.dst, d.m from d join e on e.src = d.k)
+  select u.k, cast(max(d.m) as double) as value from ({USERS}) u left join d on d.k = u.k group by u.k""")
+def stream_equals_batch(spark, sf_dir):
+    """Purchases as a stream of changes, absorbed in several batches: the newest one that leads to each user."""
+    own = f"{shared_dir(spark)}/undertow/stream-{uuid.uuid4().hex}"
+    changes = _sql(spark, sf_dir, "select user_id as k, cast(event_id as double) as m from {events} where event_type = 'purchase' and user_id % 10 = 0")
+    changes.repartition(3, "k").write.parquet(f"{own}/in")
+    stream = spark.readStream.schema("k long, m double").option("maxFilesPerTrigger", 1).parquet(f"{own}/in")
+    program = Program(MAX, F.lit(None), F.lit(None), F.lit(0.0))
+    incremental.follow(stream, _users(spark, sf_dir), program, f"{own}/state", f"{own}/log").awaitTermination()
+    out = cut(incremental.latest(spark, f"{own}/state").select("k", "value"))
+    delete(spark, own)
+    return out

@@ -86,12 +86,14 @@ def run(
     save_to: str | None = None,
     save_every: int = 0,
     metrics: bool = False,
+    min_message: float = 0.0,
 ) -> Result:
     """Runs ``program``: exactly ``rounds`` rounds (fewer if nothing is left to send), or until progress settles.
 
     Without ``rounds``, the loop stops when nothing is active or, with ``eps``, when progress changes by no more than
     ``eps`` between two rounds. ``start`` resumes from a state (see ``load_state``); ``save_every`` writes the state to
-    ``save_to`` that often. A value that isn't finite stops the loop with an error.
+    ``save_to`` that often. Messages below ``min_message`` in size are dropped, which loses their mass; the default keeps
+    all (``MinDelta`` holds small changes back without loss). A value that isn't finite stops the loop with an error.
     """
     acc, schedule = program.accumulator, schedule or All()
     degree = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
@@ -136,7 +138,7 @@ def run(
                 last = now.progress
             if rounds is None and done >= max_rounds:
                 break
-            state = cut(_round(rows.withColumn("sent", chosen), links, program))
+            state = cut(_round(rows.withColumn("sent", chosen), links, program, min_message))
             done += 1
             if watch:
                 told.append({"round": done, **now.asDict(), "seconds": time.monotonic() - began})
@@ -147,12 +149,14 @@ def run(
     return Result(state, acc, done, told)
 
 
-def _round(rows: DataFrame, links: DataFrame, program: Program) -> DataFrame:
+def _round(rows: DataFrame, links: DataFrame, program: Program, min_message: float = 0.0) -> DataFrame:
     acc = program.accumulator
     sending = rows.filter("sent").select("k", "delta")
     messages = sending.join(links, sending.k == links.src).select(
         F.col("dst").alias("k"), program.send(F.col("delta"), F.col("coefficient")).alias("m")
     )
+    if min_message:
+        messages = messages.filter(F.abs("m") >= min_message)
     spent = F.col("sent") | ~F.col("active") if acc.idempotent else F.col("sent")
     kept = rows.select(
         "k",
