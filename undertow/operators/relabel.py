@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from undertow.lineage import cut
+
 ROWS_A_RANGE = 1_000_000
 
 
@@ -12,7 +14,7 @@ def numbered(vertices: DataFrame) -> DataFrame:
     """``vertices`` (k) with ``place``, 0, 1, ... by k: ranks inside ranges of keys, and the counts of the ranges before."""
     n = vertices.count()
     dealt = vertices.select("k").repartitionByRange(max(1, -(-n // ROWS_A_RANGE)), "k").withColumn("_p", F.spark_partition_id())
-    # a range is one partition, so its id tells the range; ids rise with the keys
+    dealt = cut(dealt)  # ranges are sampled, so both uses below must see the same ones; their ids rise with the keys
     local = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("k")))
     starts = local.groupBy("_p").agg(F.max("_i").alias("_n"))
     starts = starts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_start"))
