@@ -140,6 +140,8 @@ PAGES = [
     ("a < b <3 <i>c</i>d", "a < b <3 cd"),
     ("<article><p>a &amp;amp; b&nbsp;&nbsp;c</p><script>if(a<b)'</p>'</script><style>p{}</style><!-- <p>no</p> -->t</article>out", "a &amp; b c\n\nt"),
     ("<article><p title='a>b'>q</p><p>r</article>", "q\n\nr"),
+    ("<div class=siteHeader>h</div><article class=post><div class='post-header'>H</div><div class='AdSlot'>ad</div><div class=shadow>s</div></article>"
+     "<div id=commentList><article>c</article></div>", "H\n\ns"),
     ("<script>x", ""), ("", ""), (None, ""), ("<p", "<p"), ("<nav>" + "<div>" * 3000 + "x", ""), ("<article>" + "<div>" * 3000 + "x", "x"),
 ]
 
