@@ -5,10 +5,10 @@ key of each of BANDS buckets, and the low BITS bits of each, packed into longs,
 bucket are candidates; the similarity estimated by counting unequal signature digits, corrected for chance collisions,
 drops those that are five standard deviations below the threshold; the rest are confirmed on their full sets.
 
-Groups, not pairs, are the result, so links are looked for in two steps. Members of a bucket are first compared with
-its smallest member, each with its two most similar ones of these, and what is confirmed is contracted. Then every pair
-of a bucket whose ends are still apart is estimated, in blocks of bounded size, and confirmed. No pair inside a group is
-ever listed twice over, and none whose ends are apart is left out.
+Groups, not pairs, are the result, so links are looked for in two steps. First each text is compared with its two most
+similar ones of those in its buckets, and what is confirmed is contracted. What is still apart but similar by estimate in
+some bucket forms clusters; all texts of a cluster are compared on their full sets, in cells of bounded size, and the
+links that connect them are kept. Pairs inside a group are never listed, and no pair whose ends are apart is left out.
 
 Chance of missing a link at similarity 0.75: (1 - 0.75**5)**51, about one in a million, in the buckets, and less in
 the estimate. Shingles are compared by 64-bit hashes.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from undertow.llm.common import cut, is_empty, read
@@ -39,6 +39,7 @@ BANDS, ROWS, BITS = 51, 5, 4
 HASHES = 256
 SLACK = 5.0  # standard deviations
 BLOCK = 4096
+CELL_MEMBERS, CELL_SHINGLES = 1024, 2_000_000
 BROADCAST_ROWS = 500_000  # of at most 60 bytes
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -110,15 +111,6 @@ def unequal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(v).sum(-1, dtype=np.int64)
 
 
-def _unequal(a: Column, b: Column) -> Column:
-    def digits(x: Column, y: Column) -> Column:
-        v = x.bitwiseXOR(y)
-        v = v.bitwiseOR(F.shiftrightunsigned(v, 1))
-        return F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 2)).bitwiseAND(F.lit(int(_DIGITS))))
-
-    return F.aggregate(F.zip_with(a, b, digits), F.lit(0), lambda s, x: s + x)
-
-
 def similarity(unequal_digits: float) -> float:
     """Collision-corrected estimate of the similarity from the number of unequal digits."""
     chance = 2.0**-BITS
@@ -198,11 +190,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: float) -> DataFrame:
     return cut(with_both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"))
 
 
-def _apart(members: DataFrame, limit: int, percent: float) -> DataFrame:
-    """Pairs (a, b) of a bucket with different comps and at most ``limit`` unequal digits.
+def _apart(members: DataFrame, limit: int, percent: float, nearest: bool) -> DataFrame:
+    """Pairs (v, w, unequal) of a bucket with different comps and at most ``limit`` unequal digits.
 
-    ``members``: bucket, n, v, comp, n_shingles, sig. A bucket of n members is cut into ceil(n / BLOCK) blocks, and
-    every cell of two blocks is compared on its own, so a task holds two blocks at most.
+    ``members``: bucket, n, v, comp, n_shingles, sig. With ``nearest``, each v's most similar w; else as many pairs as
+    connect all comps that such pairs connect, so fewer than there are comps. A bucket of n members is cut into
+    ceil(n / BLOCK) blocks, and every cell of two blocks is compared on its own, so a task holds two blocks at most.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("v"), blocks).cast("int")
@@ -212,24 +205,50 @@ def _apart(members: DataFrame, limit: int, percent: float) -> DataFrame:
         .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "comp", "n_shingles", "sig")
     )
 
-    def cell(frame: list, i: int, j: int) -> list[tuple[int, int]]:
-        own, v, comp, n, sig = (np.concatenate(x) for x in zip(*frame))
+    def cell(frame: list, i: int, j: int) -> tuple[list, list, list]:
+        own, v, comp, n, sig = (np.concatenate(x) for x in zip(*frame)) if len(frame) > 1 else frame[0]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
+        found: tuple[list, list, list] = ([], [], [])
+        best = np.full(len(v), limit + 1)  # the least number of unequal digits so far, and whose
+        whose = np.zeros(len(v), np.int64)
+        group = comp.copy()
         for k in left.tolist():
             other = right[right > k] if i == j else right
-            other = other[(comp[other] != comp[k]) & (100 * np.minimum(n[other], n[k]) >= percent * np.maximum(n[other], n[k]))]
-            if len(other):
-                near = other[unequal(sig[other], sig[k]) <= limit]
-                out += [(min(v[k], x), max(v[k], x)) for x in v[near].tolist()]
-        return out
+            other = other[(group[other] != group[k]) & (100 * np.minimum(n[other], n[k]) >= percent * np.maximum(n[other], n[k]))]
+            if not len(other):
+                continue
+            u = unequal(sig[other], sig[k])
+            if nearest:
+                closer = u < best[other]
+                best[other[closer]], whose[other[closer]] = u[closer], v[k]
+                m = int(u.argmin())
+                if u[m] < best[k]:
+                    best[k], whose[k] = u[m], v[other[m]]
+                continue
+            other, u = other[u <= limit], u[u <= limit]
+            while len(other):
+                for x, y in zip(found, (v[k], v[other[0]], u[0])):
+                    x.append(np.array([y]))
+                group[group == group[other[0]]] = group[k]
+                apart = group[other] != group[k]
+                other, u = other[apart], u[apart]
+        if nearest:
+            hit = best <= limit
+            return [v[hit]], [whose[hit]], [best[hit]]
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, frame = None, []
+        key, frame, out = None, [], ([], [], [])
 
         def done() -> pa.RecordBatch:
-            pairs = sorted(set(cell(frame, key[1], key[2])))
-            return pa.RecordBatch.from_arrays([pa.array([int(a) for a, _ in pairs], pa.int64()), pa.array([int(b) for _, b in pairs], pa.int64())], ["a", "b"])
+            columns = [np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in out]
+            for x in out:
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["v", "w", "unequal"])
+
+        def add() -> None:
+            for x, more in zip(out, cell(frame, key[1], key[2])):
+                x.extend(more)
 
         for batch in batches:
             if not batch.num_rows:
@@ -240,15 +259,82 @@ def _apart(members: DataFrame, limit: int, percent: float) -> DataFrame:
             for a, z in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
                 this = tuple(int(c[a]) for c in columns[:3])
                 if key is not None and this != key:
-                    yield done()
+                    add()
                     frame = []
                 key = this
                 frame.append((*(c[a:z] for c in columns[3:]), sig[a:z]))
+            yield done()
         if frame:
+            add()
             yield done()
 
     dealt = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "v long, w long, unequal long")
+
+
+def _cluster_links(members: DataFrame, percent: float) -> DataFrame:
+    """Links (a, b) between different comps of a cluster, confirmed on full sets: as many as connect what all would.
+
+    ``members``: cluster, v, comp, n_shingles, set. A cluster is cut into blocks of about CELL_MEMBERS members and
+    CELL_SHINGLES shingles, and every cell of two blocks is compared on its own through an inverted index of its sets.
+    """
+    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    size = size.select("cluster", F.ceil(F.greatest(F.col("n") / CELL_MEMBERS, F.col("s") / CELL_SHINGLES)).cast("int").alias("blocks"))
+    cells = (
+        members.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "comp", "set")
+    )
+
+    def cell(own: list, v: list, comp: list, sets: list, i: int, j: int) -> list[tuple[int, int]]:
+        own, group = np.array(own), np.array(comp)
+        sets = [np.frombuffer(x, "<u8") for x in sets]
+        n = np.array([len(x) for x in sets])
+        starts = np.concatenate([[0], np.cumsum(n)])
+        _, which = np.unique(np.concatenate(sets), return_inverse=True)
+        holders = np.repeat(np.arange(len(sets)), n)[np.argsort(which, kind="stable")]  # members by shingle
+        edges = np.concatenate([[0], np.cumsum(np.bincount(which))])
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out = []
+        for k in left.tolist():
+            if len(np.unique(group)) == 1:
+                break
+            at = which[starts[k] : starts[k + 1]]
+            lens = edges[at + 1] - edges[at]
+            ends = np.cumsum(lens)
+            both = np.bincount(holders[np.arange(ends[-1]) + np.repeat(edges[at] - ends + lens, lens)], minlength=len(sets))
+            other = right[right > k] if i == j else right
+            other = other[(group[other] != group[k]) & (100 * both[other] >= percent * (n[other] + n[k] - both[other]))]
+            while len(other):
+                out.append((min(v[k], v[other[0]]), max(v[k], v[other[0]])))
+                group[group == group[other[0]]] = group[k]
+                other = other[group[other] != group[k]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, frame = None, []
+
+        def done() -> pa.RecordBatch:
+            links = cell(*(list(x) for x in zip(*frame)), key[1], key[2])
+            return pa.RecordBatch.from_arrays([pa.array([x[side] for x in links], pa.int64()) for side in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j")))
+            for this, *row in zip(keys, *(batch.column(c).to_pylist() for c in ("own", "v", "comp", "set"))):
+                if key is not None and this != key:
+                    yield done()
+                    frame = []
+                key = this
+                frame.append(row)
+        if frame:
+            yield done()
+
+    dealt = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return cut(dealt.mapInArrow(run, "a long, b long").distinct())
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: float = PERCENT) -> DataFrame:
@@ -268,37 +354,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumnRenamed("row", "v")
     )
     keys = one.select("v", F.explode("bands").alias("bucket"))
-    buckets = cut(
-        keys.groupBy("bucket").agg(F.min("v").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    )
-    members = cut(keys.join(buckets, "bucket").select("bucket", "v", "hub", "n"))
+    buckets = cut(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    members = cut(keys.join(buckets, "bucket").select("bucket", "v", "n"))
     limit = most_unequal(percent)
     marks = one.select("v", "n_shingles", "sig")
-    a, b = (marks.select(F.col("v").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    stars = cut(
-        members.filter("v <> hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
-        .join(b, "b").join(a, "a").filter(fits)
-        .withColumn("unequal", _unequal(F.col("sig_a"), F.col("sig_b"))).filter(F.col("unequal") <= limit)
-        .withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy("unequal", "a")))
-        .select("a", "b", "rank")
-    )
-    first = stars.filter("rank <= 2").select("a", "b")
+
+    own = _apart(members.withColumn("comp", F.col("v")).join(marks, "v"), limit, percent, nearest=True)
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("unequal", "w"))
+    first = cut(_ends(own.distinct().withColumn("rank", rank).filter("rank <= 2")))
     links = _confirm(first, _sets(docs, _named(first, one)), percent)
     comps = components(links)
 
-    at = comps.select(F.col("v"), F.col("comp"))
-    placed = members.filter("n > 2").select("bucket", "v", "n").join(at, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    placed = members.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket")
-    apart = _apart(cut(placed.join(mixed, "bucket")).join(marks, "v"), limit, percent)
-    later = stars.filter("rank > 2").select("a", "b")
-    side = lambda x: at.select(F.col("v").alias(x), F.col("comp").alias(f"comp_{x}"))
-    later = later.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(
-        F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")
-    ).select("a", "b")
-    rest = cut(apart.unionByName(later).distinct().join(first, ["a", "b"], "left_anti"))
-    if not is_empty(rest):
-        more = _confirm(rest, _sets(docs, _named(rest, one)), percent)
+    apart = _apart(cut(placed.join(mixed, "bucket")).join(marks, "v"), limit, percent, nearest=False)
+    side = lambda x: placed.select(F.col("v").alias(x), F.col("comp").alias(f"comp_{x}")).distinct()
+    near = cut(_ends(apart).join(side("a"), "a").join(side("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+    if not is_empty(near):
+        clusters = components(near).select(F.col("v").alias("comp"), F.col("comp").alias("cluster"))
+        inside = cut(placed.select("v", "comp").distinct().join(clusters, "comp"))
+        wanted = one.select("v", "id", "fp").join(inside.select("v"), "v", "left_semi")
+        sets = _sets(docs, wanted)
+        more = _cluster_links(inside.join(one.select("v", "n_shingles"), "v").join(sets, "v"), percent)
         if not is_empty(more):
             comps = components(links.unionByName(more))
 
