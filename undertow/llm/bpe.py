@@ -13,21 +13,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from undertow.llm import wordbpe
 from undertow.llm.common import read
 
 
+#: Rows encoded at a time; their ids are handed on before the next rows are read.
+SLICE = 256
+
+
 def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", path: str | None = None) -> DataFrame:
     """``docs`` with ``out_col`` array<int>, the token ids of ``text_col``; null text has none. It replaces a column of that name."""
     path = path or wordbpe.default_path()
+    docs = docs.drop(out_col) if out_col != text_col else docs
+    names = [c for c in docs.columns if c != out_col]
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(out_col, T.ArrayType(T.IntegerType()))])
 
-    @F.pandas_udf("array<int>")
-    def ids(text):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = wordbpe.load(path)
-        return text.map(lambda x: np.frombuffer(bpe.encode(x or ""), "<u4").astype("int32"))
-
-    return docs.withColumn(out_col, ids(F.coalesce(F.col(text_col), F.lit(""))))
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                packed = [bpe.encode(t.as_py() or "") for t in part.column(text_col)]
+                ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), ids], [*names, out_col])
+
+    return docs.mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:

@@ -47,7 +47,7 @@ _RNG = np.random.default_rng(20_231)
 _XOR = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _MUL = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
-_hash = Memo(lambda w: xxhash.xxh3_64_intdigest(w), 300_000)
+_hash = Memo(lambda w: xxhash.xxh3_64_intdigest(w), 100_000)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -69,7 +69,7 @@ class Index:
         self.most = np.zeros((len(self.postings), self.blocks))
         for t, (examples, weights) in enumerate(self.postings):
             np.maximum.at(self.most[t], examples // BLOCK, weights)
-        self.of_word = Memo(lambda w: tuple(i for x in terms(w) if (i := self.term_ids.get(x)) is not None), 200_000)
+        self.of_word = Memo(lambda w: tuple(i for x in terms(w) if (i := self.term_ids.get(x)) is not None), 100_000)
         return self
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:

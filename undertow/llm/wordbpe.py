@@ -48,7 +48,7 @@ class Memo(dict):
 
 
 class WordBpe:
-    def __init__(self, path: str, memo: int = 300_000) -> None:
+    def __init__(self, path: str, memo: int = 150_000) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
