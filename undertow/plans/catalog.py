@@ -384,13 +384,13 @@ def generate_graph(spark, sf_dir):
 
 @query(SHORTEST)
 def portion_equals_full(spark, sf_dir):
-    done = programs.shortest_path(_parts(spark, sf_dir), source=0, schedule=schedule.Portion(0.25, small=0), max_rounds=200)
+    done = programs.shortest_path(_parts(spark, sf_dir), source=0, schedule=schedule.Portion(0.25, small=0))
     return _values(done)
 
 
 @query(SHORTEST)
 def topk_equals_full(spark, sf_dir):
-    done = programs.shortest_path(_parts(spark, sf_dir), source=0, schedule=schedule.TopK(500), max_rounds=200)
+    done = programs.shortest_path(_parts(spark, sf_dir), source=0, schedule=schedule.TopK(500))
     return _values(done)
 
 

@@ -80,7 +80,7 @@ def run(
     rounds: int | None = None,
     eps: float | None = None,
     schedule=None,
-    max_rounds: int = 1000,
+    max_rounds: int | None = None,
     start: DataFrame | None = None,
     done_rounds: int = 0,
     save_to: str | None = None,
@@ -91,7 +91,8 @@ def run(
     """Runs ``program``: exactly ``rounds`` rounds (fewer if nothing is left to send), or until progress settles.
 
     Without ``rounds``, the loop stops when nothing is active or, with ``eps``, when progress changes by no more than
-    ``eps`` between two rounds. ``start`` resumes from a state (see ``load_state``); ``save_every`` writes the state to
+    ``eps`` between two rounds, however many rounds that takes; if ``max_rounds`` is given and the loop would need more,
+    it raises instead of returning an unfinished state. ``start`` resumes from a state (see ``load_state``); ``save_every`` writes the state to
     ``save_to`` that often. Messages below ``min_message`` in size are dropped, which loses their mass; the default keeps
     all (``MinDelta`` holds small changes back without loss). A value that isn't finite stops the loop with an error.
     """
@@ -136,8 +137,8 @@ def run(
                 if not now.n_sent:  # never stand still while something is active
                     chosen = F.col("active")
                 last = now.progress
-            if rounds is None and done >= max_rounds:
-                break
+            if rounds is None and max_rounds is not None and done >= max_rounds:
+                raise RuntimeError(f"not settled after max_rounds={max_rounds} rounds: {now.n_active} vertices are still active")
             state = cut(_round(rows.withColumn("sent", chosen), links, program, min_message))
             done += 1
             if watch:
