@@ -1,8 +1,9 @@
 """The corpus pipeline: toxicity, exact dedup, near dedup, mixing, token ids.
 
 Each stage takes (spark, docs, sf_dir), ``docs`` being all that the stage before kept, and returns the columns of
-``documents``; the last adds n_tokens and ids. Decisions come back to the rows by doc_id, which the corpus holds once;
-of rows that share an id, the filters keep all or none, and rows with a null id are kept if their decision is to keep.
+``documents``; the last adds n_tokens and ids. Stages whose decisions come back by a join number the rows and write them
+once, and the decisions are those of rows, not of ids: a row that is repeated, or has a null id or one that another text
+has too, is judged by its own. Of equal rows the first by that number stays.
 """
 
 from __future__ import annotations
@@ -11,12 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
+from undertow.llm.common import cut
+
+ROW = "__v_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for every row, written, so that all who read it see the same numbers."""
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``docs`` whose id has a row with ``kept`` in ``verdicts``."""
-    kept = verdicts.filter("kept").select(F.col("doc_id").alias("__v_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__v_id")), "left_semi")
+    """The rows of ``docs`` whose number has ``kept`` in ``verdicts``."""
+    return docs.join(verdicts.filter("kept").select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,20 +33,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _kept(docs, exact_dedup.exact_dedup(docs))
+    """One row of each group of equal texts."""
+    docs = _numbered(docs)
+    return _kept(docs, exact_dedup.exact_dedup(docs, row_col=ROW))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    return _kept(docs, near_dedup.near_groups(docs))
+    """The row with the smallest id of each group of near duplicates; texts without words are in no group."""
+    docs = _numbered(docs)
+    return _kept(docs, near_dedup.near_groups(docs, row_col=ROW))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources takes it; those it takes no time go."""
-    taken = mixing.mix(docs).filter("repeats > 0").groupBy(F.col("doc_id").alias("__v_id")).agg(F.max("repeats").alias("__v_repeats"))
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__v_id")))
-    return out.withColumn("__v_repeat", F.explode(F.sequence(F.lit(1), F.col("__v_repeats").cast("int")))).select(*docs.columns)
+    """Every row as often as the mix of sources takes it; those it takes no time go."""
+    columns, docs = docs.columns, _numbered(docs)
+    taken = mixing.mix(docs, row_col=ROW).filter("repeats > 0").select(ROW, F.col("repeats").alias("__v_repeats"))
+    out = docs.join(taken, ROW)
+    return out.withColumn("__v_repeat", F.explode(F.sequence(F.lit(1), F.col("__v_repeats").cast("int")))).select(*columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

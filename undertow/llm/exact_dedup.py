@@ -20,40 +20,44 @@ from undertow.llm.common import WS, code_points, cut, is_empty, read, utf8
 FIRST_DIGIT, WIDEN = 64, 16
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per input row: ``id_col, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical without ASCII white space. The row with the most code points in its original
     text stays, of those the one with the smallest id. Null text counts as empty, and all empty texts form one
     group. Rows with a null id take part and stay only if no row with an id ties with them. Rows repeated with the
-    same id and text all count in ``group_size`` and are all marked like their id. An empty table gives an empty
-    result; other columns are ignored, whatever their names.
+    same id and text all count in ``group_size`` and are all marked like their id, unless ``row_col`` names a column of
+    distinct numbers: the result then begins with it, ties of equal ids go to the smallest number, and exactly one row
+    of a group is kept. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"),
+        (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"),
         code_points(text).alias("points"),
         utf8(F.translate(text, WS, "")).alias("bytes"),
     ).select(
-        "id", "points", "bytes", F.octet_length("bytes").alias("len"),
+        "id", "row", "points", "bytes", F.octet_length("bytes").alias("len"),
         F.lit(None).cast("long").alias("gid"), F.lit(0).cast("long").alias("gtag"),
     )
     at, width, done = 0, FIRST_DIGIT, []
     while True:
         step = cut(_split(rows, at, width))
         done.append(step.filter("bytes IS NULL"))
-        rows = step.filter("bytes IS NOT NULL").select("id", "points", "bytes", "len", "gid", "gtag")
+        rows = step.filter("bytes IS NOT NULL").select("id", "row", "points", "bytes", "len", "gid", "gtag")
         if is_empty(rows):
             break
         at, width = at + width, width * WIDEN
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
+    kept = F.col("row") == F.col("keep_row") if row_col else F.col("id").eqNullSafe(F.col("keep"))
     return out.select(
+        *([F.col("row").alias(row_col)] if row_col else []),
         F.col("id").alias(id_col),
         F.col("keep").alias("keep_id"),
         F.col("n").alias("group_size"),
-        F.col("id").eqNullSafe(F.col("keep")).alias("kept"),
+        kept.alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 
@@ -64,19 +68,20 @@ def _split(rows: DataFrame, at: int, width: int) -> DataFrame:
     keys = ["len", "digit"] if at == 0 else ["gid", "gtag", "len", "digit"]
     groups = cut(  # written, so that both sides of the join are plain shuffles and AQE can split a hot key
         rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("points", (-F.col("id")).alias("neg"))).alias("best"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("points", (-F.col("id")).alias("neg"), (-F.col("row")).alias("neg_row"))).alias("best"))
         .filter("n > 1")
-        .select(*[F.col(k).alias(f"g_{k}") for k in keys], "n", (-F.col("best.neg")).alias("keep"))
+        .select(*[F.col(k).alias(f"g_{k}") for k in keys], "n", (-F.col("best.neg")).alias("keep"), (-F.col("best.neg_row")).alias("keep_row"))
     )
     on = [F.col(k).eqNullSafe(F.col(f"g_{k}")) if k == "gid" else F.col(k) == F.col(f"g_{k}") for k in keys]
     joined = rows.join(groups, on, "left")
     settled = F.col("n").isNull() | (F.col("len") <= at + width)
     return joined.select(
-        "id", "points", "len",
+        "id", "row", "points", "len",
         F.when(~settled, F.col("bytes")).alias("bytes"),
         F.col("keep").alias("gid"),
         F.xxhash64("gtag", "digit").alias("gtag"),
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep"),
+        F.when(F.col("n").isNull(), F.col("row")).otherwise(F.col("keep_row")).alias("keep_row"),
         F.coalesce("n", F.lit(1)).cast("long").alias("n"),
         F.when(settled, F.sha2("bytes", 256)).alias("sha"),
     )

@@ -44,11 +44,11 @@ def water_fill(sources: DataFrame, total: float, max_epochs: float = MAX_EPOCHS)
 
 
 def _place() -> Column:
-    return F.struct("order", "id", "size")
+    return F.struct("order", "id", "size", "row")
 
 
 def _boundary(rows: DataFrame, shares: DataFrame, small: int = 4096) -> DataFrame:
-    """Per source the places (order, id, size) of the last row taken once more and of the first that is not.
+    """Per source the places (order, id, size, row) of the last row taken once more and of the first that is not.
 
     ``shares`` (source, part): sizes to take. One of the two places can be null; both lie in the slice of the order
     in which the running sum of sizes reaches ``part``, so one of them decides for every row.
@@ -74,14 +74,14 @@ def _boundary(rows: DataFrame, shares: DataFrame, small: int = 4096) -> DataFram
         inside = (
             sliced.drop("left")
             .join(a, F.col("source").eqNullSafe(F.col("a_source")) & (F.col("slice") == F.col("a_slice")))
-            .select("source", "order", "id", "size", "left")
+            .select("source", "order", "id", "size", "row", "left")
         )
         level += 1
         if used >= 63 or (at.agg(F.max("c")).first()[0] or 0) <= small:
             break
         inside = cut(inside)
     upto = F.sum("size").over(
-        Window.partitionBy("source").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy("source").orderBy("order", "id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     )
     more = F.col("upto") - F.col("size") / 2 <= F.col("left")
     return (
@@ -99,6 +99,7 @@ def mix(
     weights: tuple[float, ...] = (1, 2, 3),
     max_epochs: int = MAX_EPOCHS,
     seed: int = SEED,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: ``id_col, size, source_size, target, repeats, taken``.
 
@@ -106,10 +107,12 @@ def mix(
     ``weights`` in turn and share the words of all rows. ``repeats`` is how often the mix holds the row, ``taken``
     its words in the mix. The order is a hash of ``seed`` and the id, so runs agree and rows with the same id and
     size stay or go together only by their place; a source's taken words differ from its target by half a document
-    at most. Null ids hash like any other value. An empty table gives an empty result.
+    at most. Null ids hash like any other value. ``row_col`` may name a column of distinct numbers: the result then
+    begins with it, and rows with the same id and size have their places by it. An empty table gives an empty result.
     """
     rows = cut(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+                    (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
         .withColumn("order", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 1))
     )
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # over one row per source
@@ -133,7 +136,7 @@ def mix(
         rows.join(marks, F.col("source").eqNullSafe(F.col("s_source")))
         .withColumn("repeats", F.col("whole") + more.cast("long"))
         .select(
-            F.col("id").alias(id_col), "size", "source_size", "target", "repeats",
+            *([F.col("row").alias(row_col)] if row_col else []), F.col("id").alias(id_col), "size", "source_size", "target", "repeats",
             (F.col("repeats") * F.col("size")).alias("taken"),
         )
     )

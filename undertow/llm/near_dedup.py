@@ -337,17 +337,20 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: float = PERCENT) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: float = PERCENT, row_col: str | None = None) -> DataFrame:
     """One row per input row: ``id_col, n_shingles, component_id, kept``.
 
     Words are runs of anything but ASCII white space. A text with fewer than five words has their sequence as its one
     shingle; null texts and texts without words have none and are linked with nothing. Links need
     ``100 * intersection >= percent * union``; ``component_id`` is the smallest id that links reach. Rows with equal
-    sets are linked, whatever their ids; null ids never name a component unless all of its ids are null. An empty
-    table gives an empty result.
+    sets are linked, whatever their ids; null ids never name a component unless all of its ids are null. All rows with
+    the id of their component are kept; if ``row_col`` names a column of distinct numbers, the result begins with it and
+    exactly one row of a component is kept, of equal ids the one with the smallest number. An empty table gives an
+    empty result.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = cut(sketches(docs.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "text")))
+    row = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
+    docs = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = cut(sketches(docs))
     classes = cut(rows.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("row").alias("v")).select("v", F.col("fp").alias("c_fp")))
     one = cut(
         rows.select("row", "id", "n_shingles", "fp", "bands", "sig").join(classes.select("v"), F.col("row") == F.col("v"), "left_semi")
@@ -382,11 +385,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of = classes.join(comps, "v", "left").select("c_fp", F.coalesce("comp", "v").alias("comp"))
     placed = cut(
         rows.select("row", "id", "n_shingles", "fp").join(of, F.col("fp") == F.col("c_fp"), "left")
-        .select("id", "n_shingles", F.coalesce("comp", "row").alias("comp"))
+        .select("row", "id", "n_shingles", F.coalesce("comp", "row").alias("comp"))
     )
-    least = cut(placed.groupBy("comp").agg(F.min("id").alias("component_id")))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    least = cut(placed.groupBy("comp").agg(first.alias("first")).select("comp", F.col("first.id").alias("component_id"), F.col("first.row").alias("keep_row")))
+    kept = F.col("row") == F.col("keep_row") if row_col else F.col("id").eqNullSafe(F.col("component_id"))
     return placed.join(least, "comp").select(
-        F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+        *([F.col("row").alias(row_col)] if row_col else []), F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept")
     )
 
 
