@@ -421,6 +421,16 @@ def table_put(spark, sf_dir):
     return table.put(_sql(spark, sf_dir, STATE), _sql(spark, sf_dir, NEW_ROWS), F.col("value"))
 
 
+ALL_ROWS = "select o_custkey as k, cast(o_orderkey as double) as value, cast(o_totalprice as double) as delta from {orders}"
+
+
+@query(f"""with s as ({STATE}), n as (select k, max_by(value, value) as value, max_by(delta, value) as delta from ({ALL_ROWS}) r group by k)
+  select k, value, delta from s where k not in (select k from n) union all select k, value, delta from n""")
+def table_put_all(spark, sf_dir):
+    """``table_put`` with every order."""
+    return table.put(_sql(spark, sf_dir, STATE), _sql(spark, sf_dir, ALL_ROWS), F.col("value"))
+
+
 @query(f"select k, value, case when k % 3 = 0 then 7.0 else delta end as delta from ({STATE}) s")
 def table_update(spark, sf_dir):
     rows = _sql(spark, sf_dir, "select p_partkey as k, cast(7.0 as double) as delta from {part} where p_partkey % 3 = 0 union all select -1, 1.0")
@@ -484,8 +494,18 @@ def sampled_threshold(spark, sf_dir):
   select u.k, cast(max(d.m) as double) as value from ({USERS}) u left join d on d.k = u.k group by u.k""")
 def stream_equals_batch(spark, sf_dir):
     """Purchases as a stream of changes, absorbed in several batches: the newest one that leads to each user."""
-    own = f"{shared_dir(spark)}/undertow/stream-{uuid.uuid4().hex}"
     changes = _sql(spark, sf_dir, "select user_id as k, cast(event_id as double) as m from {events} where event_type = 'purchase' and user_id % 10 = 0")
+    return _streamed(spark, sf_dir, changes)
+
+
+@query()
+def stream_all_purchases(spark, sf_dir):
+    """``stream_equals_batch`` with every purchase; recursive SQL would list all pairs of a purchase and a user it leads to."""
+    return _streamed(spark, sf_dir, _sql(spark, sf_dir, "select user_id as k, cast(event_id as double) as m from {events} where event_type = 'purchase'"))
+
+
+def _streamed(spark, sf_dir, changes: DataFrame) -> DataFrame:
+    own = f"{shared_dir(spark)}/undertow/stream-{uuid.uuid4().hex}"
     changes.repartition(3, "k").write.parquet(f"{own}/in")
     stream = spark.readStream.schema("k long, m double").option("maxFilesPerTrigger", 1).parquet(f"{own}/in")
     program = Program(MAX, F.lit(None), F.lit(None), F.lit(0.0))
