@@ -27,6 +27,15 @@ BLOCK_CHARS, BLOCK_DOCS = 16_000_000, 1 << 14
 FREQ_BITS = 18  # of the 32 bits of a posting; the others number the document in its block
 HOT_SHARE, SALTS = 0.05, 64
 FLUSH_POSTINGS = 2_000_000
+OWN = ["id", "n_bytes", "special"]  # of each document of a block
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    """``batch`` as one value. List columns, null in all rows but one, would cost Spark a walk over the batch for each row."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def _postings(texts: list[str], bpe: wordbpe.WordBpe) -> tuple[list[str], np.ndarray, pa.Array, list[int]]:
@@ -66,7 +75,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
     kind = rows.schema["id"].dataType.simpleString()
-    first = "word string, salt int, block long, postings binary, ids array<{0}>, bytes array<bigint>, special array<bigint>".format(kind)
+    first = "word string, salt int, block long, postings binary"
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = wordbpe.load(path)
@@ -77,16 +86,13 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             n, salt = len(words), block % 1_000_003
             hot = np.where(counts > max(32, HOT_SHARE * len(texts)), salt % SALTS + 1, 0).astype(np.int32)
             sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
-            none = [pa.nulls(n, t) for t in (id_type, pa.list_(pa.int64()), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(hot), pa.array(np.full(n, block)), blobs, *none], names)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.string()), pa.array([salt], pa.int32()), pa.array([block]), pa.nulls(1, pa.binary()), pa.array([ids], id_type), pa.array([sizes], none[1].type), pa.array([special], none[1].type)],
-                names,
-            )
+            own = _packed(pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(sizes, pa.int64()), pa.array(special, pa.int64())], OWN))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(hot), pa.array(np.full(n, block)), blobs], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([salt], pa.int32()), pa.array([block]), pa.array([own])], names)
 
         names = [f.split()[0] for f in first.split(", ")]
         for batch in batches:
-            id_type = pa.list_(batch.schema.field("id").type)
+            id_type = batch.schema.field("id").type
             for row, key, text in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), batch.column("text")):
                 text = text.as_py()
                 if texts and (chars + len(text) > BLOCK_CHARS or len(texts) == BLOCK_DOCS):
@@ -103,7 +109,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = wordbpe.load(path)
         last, n, held, size = None, 0, [], 0
-        names = ["block", "sums", "ids", "bytes", "special"]
+        names = ["block", "sums", "own"]
 
         def flush() -> pa.RecordBatch:
             """One row per block seen, with packed (document, tokens) pairs."""
@@ -115,11 +121,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             block = block[starts]
             edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             sums = [pairs[a:z].tobytes() for a, z in zip(edges, [*edges[1:], len(block)])]
-            none = [pa.nulls(len(sums), t) for t in meta]
-            return pa.RecordBatch.from_arrays([pa.array(block[edges]), pa.array(sums, pa.binary()), *none], names)
+            return pa.RecordBatch.from_arrays([pa.array(block[edges]), pa.array(sums, pa.binary()), pa.nulls(len(sums), pa.binary())], names)
 
         for batch in batches:
-            meta = [batch.schema.field(c).type for c in names[2:]]
             words, blobs = batch.column("word").to_pylist(), batch.column("postings")
             each = np.zeros(len(words), np.int64)
             for k, word in enumerate(words):
@@ -127,10 +131,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     if word != last:
                         last, n = word, len(bpe.parts(word))
                     each[k] = n
-            whole = batch.filter(blobs.is_null())
+            whole = batch.filter(batch.column("word").is_null())
             if whole.num_rows:
-                yield pa.RecordBatch.from_arrays([whole.column("block"), pa.nulls(whole.num_rows, pa.binary()), *(whole.column(c) for c in names[2:])], names)
-            full = np.flatnonzero(blobs.is_valid().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([whole.column("block"), pa.nulls(whole.num_rows, pa.binary()), whole.column("postings")], names)
+            full = np.flatnonzero(batch.column("word").is_valid().to_numpy(zero_copy_only=False))
             if len(full):
                 parts = blobs.take(pa.array(full)).to_pylist()
                 lens = np.array([len(p) // 4 for p in parts])
@@ -148,7 +152,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         now, tokens, own = None, np.zeros(BLOCK_DOCS, np.int64), None
 
         def done() -> pa.RecordBatch:
-            ids, size, special = own
+            ids, size, special = own.columns
             n = tokens[: len(ids)] + special.to_numpy()
             return pa.RecordBatch.from_arrays([ids, size, pa.array(n)], ["id", "n_bytes", "n_tokens"])
 
@@ -163,12 +167,12 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     pairs = np.frombuffer(pairs.as_py(), "<u4").reshape(-1, 2).astype(np.int64)
                     tokens[pairs[:, 0]] += pairs[:, 1]
                 else:
-                    own = [batch.column(c)[k].values for c in ("ids", "bytes", "special")]
+                    own = pa.ipc.open_stream(batch.column("own")[k].as_py()).read_next_batch()
         if now is not None:
             yield done()
 
     meet = rows.mapInArrow(frequencies, first).repartition("word", "salt").sortWithinPartitions("word")
-    packed = meet.mapInArrow(pieces, f"block long, sums binary, ids array<{kind}>, bytes array<bigint>, special array<bigint>")
+    packed = meet.mapInArrow(pieces, "block long, sums binary, own binary")
     blocks = packed.repartition("block").sortWithinPartitions("block")
     return blocks.mapInArrow(sums, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 import struct
 import unicodedata
@@ -65,8 +66,12 @@ class WordBpe:
         for left, right in (m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
             self.rank[vocab[left], vocab[right]] = len(self.made)
             self.made.append(vocab[left + right])
+        if any(t.get(flag) for t in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: added tokens that match more or less than their text aren't supported")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self._cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        longest_first = sorted(self.special, key=lambda t: (-len(t), t))
+        self._cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.special else None
+        self._mark = os.path.commonprefix(longest_first)  # texts without it have no special string
         size = 1 + max([*vocab.values(), *self.special.values()])
         self.tokens: list[str] = [""] * size
         for token, i in [*vocab.items(), *self.special.items()]:
@@ -75,7 +80,7 @@ class WordBpe:
 
     def pieces(self, text: str) -> list[str]:
         """``text`` cut at special strings; these are the odd elements."""
-        return self._cut.split(text) if self._cut and "<|" in text else [text]
+        return self._cut.split(text) if self._cut and self._mark in text else [text]
 
     def words(self, piece: str) -> list[str]:
         """Pre-tokens of a text without special strings."""
