@@ -1,5 +1,6 @@
 """Exact and near duplicates against brute force."""
 
+import hashlib
 import random
 import re
 
@@ -42,6 +43,32 @@ def test_exact_edges(spark):
     assert sorted((r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in rows) == [(0, 3, 3, False), (3, 3, 3, True), (3, 3, 3, True), (5, 5, 1, True)]
 
 
+def test_exact_ids_of_any_kind(spark):
+    long = "long text " * 40
+    data = [("b", long), ("a", long), (None, long + "!"), (None, long + "!"), ("c", "x"), (None, "x"), ("d", None)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(data, "doc_id string, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in got) == sorted([
+        ("b", "a", 2, False), ("a", "a", 2, True), ("None", "None", 2, True), ("None", "None", 2, True), ("c", "c", 2, True),
+        ("None", "c", 2, False), ("d", "d", 1, True),
+    ])
+    least = -(1 << 63)
+    got = exact_dedup.exact_dedup(frame(spark, [(least, "q"), (least + 1, "q"), (5, "r")])).collect()
+    assert sorted((r.doc_id, r.keep_id) for r in got) == [(least, least), (least + 1, least), (5, 5)]
+
+
+@pytest.mark.parametrize("bits", [1, 1 << 26])
+def test_exact_common_beginnings(spark, monkeypatch, bits):
+    """Texts that part after any number of bytes, also with a bitmap that lets all through."""
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", bits)
+    base = "".join(chr(97 + i % 26) for i in range(20_000))
+    texts = [base[:at] + c + base[at + 1 :] for at in (0, 63, 64, 1087, 1088, 17_471, 17_472, 19_999) for c in "XY"] * 2
+    texts += [base[:n] for n in (63, 64, 65, 1088, 1089)] * 3
+    got = by_id(exact_dedup.exact_dedup(frame(spark, list(enumerate(texts)))))
+    for i, t in enumerate(texts):
+        assert (got[i].keep_id, got[i].group_size) == (texts.index(t), texts.count(t))
+        assert got[i].text_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
 def test_exact_random(spark):
     rng = random.Random(5)
     rows = [(i, "".join(rng.choice("ab \n") for _ in range(rng.randrange(7)))) for i in range(400)]

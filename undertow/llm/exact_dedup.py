@@ -2,22 +2,28 @@
 
 Rows start in groups of equal byte length. Each round splits every open group by the next digit, a run of
 successive bytes, and rows leave as soon as they are alone in their group or their bytes have ended. Digits
-widen from round to round, so the number of rounds is logarithmic in the longest repeated text while a text
-without a copy is compared on its first digit only. Equality is decided on the bytes themselves, not on a digest.
+widen from round to round, so the number of rounds is logarithmic in the longest repeated text. Equality is decided on
+the bytes themselves, not on a digest, and a group is named by the number of one of its rows.
 
-At scale: a round is one aggregation (a hot group shrinks to one row per map task before the shuffle) and one
-sort-merge join back to the rows (AQE splits the partition of a hot group on the row side). After the first
-round only texts that still look repeated move. Every round ends in files of the shared folder.
+At scale: the first round moves no text, only the first FIRST_DIGIT bytes, to the partial aggregation of its groups.
+Groups of several rows that have more bytes set a bit each in a bitmap of FILTER_BITS bits (8 MB at most, broadcast);
+a text whose bit isn't set is alone and done without a shuffle, so only texts that look repeated move on. A false
+positive costs that text another round and nothing else; with far more than FILTER_BITS groups all texts move once.
+Later rounds are one aggregation (a hot group shrinks to one row per map task before the shuffle) and one sort-merge
+join back to the rows (AQE splits the partition of a hot group on the row side), which carries the bytes not compared
+yet. Every round ends in files of the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.llm.common import WS, code_points, cut, is_empty, read, utf8
 
 FIRST_DIGIT, WIDEN = 64, 16
+FILTER_BITS = 1 << 26
+_WORD_BITS = 32_768  # of each value that bitmap_construct_agg makes
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -25,10 +31,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical without ASCII white space. The row with the most code points in its original
     text stays, of those the one with the smallest id. Null text counts as empty, and all empty texts form one
-    group. Rows with a null id take part and stay only if no row with an id ties with them. Rows repeated with the
-    same id and text all count in ``group_size`` and are all marked like their id, unless ``row_col`` names a column of
-    distinct numbers: the result then begins with it, ties of equal ids go to the smallest number, and exactly one row
-    of a group is kept. An empty table gives an empty result; other columns are ignored, whatever their names.
+    group. Ids may be of any type that can be ordered. Rows with a null id take part and stay only if no row with an id
+    ties with them. Rows repeated with the same id and text all count in ``group_size`` and are all marked like their id,
+    unless ``row_col`` names a column of distinct numbers: the result then begins with it, ties of equal ids go to the
+    smallest number, and exactly one row of a group is kept. An empty table gives an empty result; other columns are
+    ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -36,18 +43,35 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"),
         code_points(text).alias("points"),
         utf8(F.translate(text, WS, "")).alias("bytes"),
-    ).select(
-        "id", "row", "points", "bytes", F.octet_length("bytes").alias("len"),
-        F.lit(None).cast("long").alias("gid"), F.lit(0).cast("long").alias("gtag"),
+    ).select("id", "row", "points", "bytes", F.octet_length("bytes").alias("len"), F.substring("bytes", 1, FIRST_DIGIT).alias("digit"))
+    sha = F.sha2("bytes", 256).alias("sha")
+    first = cut(rows.select(F.monotonically_increasing_id().alias("n_row"), "id", "row", "points", "len", "digit", sha))
+    groups = _groups(first, ["len", "digit"])
+    longer = F.col("len") > FIRST_DIGIT
+    bits = cut(_bitmap(groups.filter(F.col("g_len") > FIRST_DIGIT)))
+    done = [
+        _settled(_joined(first.filter(~longer), groups, ["len", "digit"])),
+        _alone(_marked(first.filter(longer), bits).filter(~F.col("marked"))),
+    ]
+    at, width = FIRST_DIGIT, FIRST_DIGIT * WIDEN
+    rest = F.substring("bytes", at + width + 1, 2_147_483_647)
+    rows = _marked(rows.filter(longer), bits).filter("marked").select(
+        F.monotonically_increasing_id().alias("n_row"), "id", "row", "points", "len", sha,
+        F.col("len").cast("long").alias("gid"), F.substring("bytes", 1, at + width).alias("digit"), rest.alias("rest"),
     )
-    at, width, done = 0, FIRST_DIGIT, []
-    while True:
-        step = cut(_split(rows, at, width))
-        done.append(step.filter("bytes IS NULL"))
-        rows = step.filter("bytes IS NOT NULL").select("id", "row", "points", "bytes", "len", "gid", "gtag")
-        if is_empty(rows):
+    while not is_empty(bits):
+        at = at + width
+        rows = cut(rows)
+        step = cut(_joined(rows, _groups(rows, ["gid", "digit"]), ["gid", "digit"]))
+        open_ = F.col("n").isNotNull() & (F.col("len") > at)
+        done.append(_settled(step.filter(~open_)))
+        rows, width = step.filter(open_), min(width * WIDEN, 1 << 30)
+        if is_empty(rows.select("len")):
             break
-        at, width = at + width, width * WIDEN
+        rows = rows.select(
+            "n_row", "id", "row", "points", "len", "sha", F.col("next").alias("gid"),
+            F.substring("rest", 1, width).alias("digit"), F.substring("rest", width + 1, 2_147_483_647).alias("rest"),
+        )
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -62,31 +86,54 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _split(rows: DataFrame, at: int, width: int) -> DataFrame:
-    """Rows with ``keep, n, sha`` set where their group is settled (``bytes`` is then null), else a new group."""
-    rows = rows.withColumn("digit", F.substring("bytes", at + 1, width))
-    keys = ["len", "digit"] if at == 0 else ["gid", "gtag", "len", "digit"]
-    groups = cut(  # written, so that both sides of the join are plain shuffles and AQE can split a hot key
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("points", (-F.col("id")).alias("neg"), (-F.col("row")).alias("neg_row"))).alias("best"))
-        .filter("n > 1")
-        .select(*[F.col(k).alias(f"g_{k}") for k in keys], "n", (-F.col("best.neg")).alias("keep"), (-F.col("best.neg_row")).alias("keep_row"))
+def _groups(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups of several rows (g_ keys, n, keep, keep_row, next), written: both sides of the join are then plain shuffles
+    and AQE can split a hot key. ``next`` is the least row number of the group."""
+    best = F.min(F.struct((-F.col("points")).alias("points"), F.col("id").isNull().alias("none"), "id", "row"))
+    return cut(
+        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), best.alias("best"), F.min("n_row").alias("next")).filter("n > 1")
+        .select(*[F.col(k).alias(f"g_{k}") for k in keys], "n", F.col("best.id").alias("keep"), F.col("best.row").alias("keep_row"), "next")
     )
-    on = [F.col(k).eqNullSafe(F.col(f"g_{k}")) if k == "gid" else F.col(k) == F.col(f"g_{k}") for k in keys]
-    joined = rows.join(groups, on, "left")
-    settled = F.col("n").isNull() | (F.col("len") <= at + width)
-    return joined.select(
-        "id", "row", "points", "len",
-        F.when(~settled, F.col("bytes")).alias("bytes"),
-        F.col("keep").alias("gid"),
-        F.xxhash64("gtag", "digit").alias("gtag"),
-        F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep"),
-        F.when(F.col("n").isNull(), F.col("row")).otherwise(F.col("keep_row")).alias("keep_row"),
-        F.coalesce("n", F.lit(1)).cast("long").alias("n"),
-        F.when(settled, F.sha2("bytes", 256)).alias("sha"),
+
+
+def _joined(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of their group, null where they are alone; the same plan at every size."""
+    return rows.join(groups.hint("merge"), [F.col(k) == F.col(f"g_{k}") for k in keys], "left").drop(*[f"g_{k}" for k in keys], "digit")
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    alone = F.col("n").isNull()
+    return rows.select(
+        "id", "row", "sha", F.when(alone, F.col("id")).otherwise(F.col("keep")).alias("keep"),
+        F.when(alone, F.col("row")).otherwise(F.col("keep_row")).alias("keep_row"), F.coalesce("n", F.lit(1)).cast("long").alias("n"),
     )
 
 
+def _alone(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "row", "sha", F.col("id").alias("keep"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("n"))
+
+
+def _bit(length: Column, digit: Column) -> Column:
+    return F.pmod(F.xxhash64(length, digit), F.lit(FILTER_BITS))
+
+
+def _bitmap(groups: DataFrame) -> DataFrame:
+    """(part, bits): the bits of ``groups``, in at most FILTER_BITS / 32768 values of 4 KB."""
+    bit = _bit(F.col("g_len"), F.col("g_digit"))
+    at = groups.select(F.floor(bit / _WORD_BITS).alias("part"), (bit % _WORD_BITS).alias("place"))
+    return at.groupBy("part").agg(F.bitmap_construct_agg("place").alias("bits"))
+
+
+def _marked(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
+    """``rows`` with ``marked``: whether the bit of their length and first digit is set."""
+    bit = _bit(F.col("len"), F.col("digit"))
+    place = (bit % _WORD_BITS).cast("int")
+    byte = F.conv(F.hex(F.expr("substring(bits, int(place DIV 8) + 1, 1)")), 16, 10).cast("int")
+    marked = byte.bitwiseAND(F.expr("shiftleft(1, place % 8)")) != 0
+    out = rows.withColumn("place", place).join(F.broadcast(bitmap), F.floor(bit / _WORD_BITS) == F.col("part"), "left")
+    return out.withColumn("marked", F.coalesce(marked, F.lit(False))).drop("place", "part", "bits")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
