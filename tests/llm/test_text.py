@@ -8,6 +8,7 @@ import struct
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,21 +119,69 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), index).collect() == []
 
 
-def test_nearest_is_exact():
-    import numpy as np
-
+def _unit(text, terms):
+    """Words and unit TF-IDF weights of a text, plainly."""
+    n = Counter(w for w in re.findall(r"[^\W_]+", text.lower()) if w in terms)
+    v = {w: (1 + math.log(c)) * terms[w] for w, c in n.items()}
+    size = math.sqrt(sum(x * x for x in v.values()))
+    return {w: x / size for w, x in v.items()}
+
+
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    """Weights, neighbours, votes and scores of every text, in blocks small enough that some are left out."""
+    monkeypatch.setattr(toxicity, "BLOCK", 4)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 2)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(1, 40))) + " vile" * (i % 7 == 0) for i in range(300)]
+    labels = [int(i % 7 == 0 or rng.random() < 0.03) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame(list(enumerate(labels)), "id long, label int"), F.col("id") < 200, k=5)
+    assert sorted(index.ids) == list(range(200))  # every example is in the index
+    found = Counter(w for t in texts[:200] for w in set(t.split()))
+    hits = Counter(w for t, y in zip(texts[:200], labels) if y for w in set(t.split()))
+    rate = sum(labels[:200]) / 200
+    terms = {}
+    for w, n in found.items():
+        p, mark = hits[w] / n, 0.0
+        if p > rate:
+            mark = min(1, n * (p * math.log(p / rate) + ((1 - p) * math.log((1 - p) / (1 - rate)) if p < 1 else 0)) / math.log(len(found) / toxicity.DOUBT)) ** 2
+        terms[w] = math.log(1 + 200 / n) * (1 + toxicity.RAISE * mark)
+    units = [_unit(t, terms) for t in texts]
+
+    def nearest(i):
+        cosines = [(sum(x * units[j].get(w, 0.0) for w, x in units[i].items()), j) for j in range(200) if j != i]
+        return sorted(((c, j) for c, j in cosines if c > 1e-9), key=lambda x: -x[0])[:5]
+
+    near = [nearest(i) for i in range(300)]
+    votes = [sum(c * labels[j] for c, j in x) / sum(c for c, _ in x) if x else None for x in near]
+    pools = toxicity.isotonic(*(np.array(x, float) for x in zip(*[(v, labels[i]) for i, v in enumerate(votes[:200]) if v is not None])))
+    got = {r.id: r for r in toxicity.score(docs.filter("id >= 200"), index).collect()}
+    for i in range(200, 300):
+        assert np.allclose([e.cosine for e in got[i].evidence], [c for c, _ in near[i]], atol=1e-5), i
+        assert abs(got[i].score - (np.interp(votes[i], *pools) if near[i] else index.nothing)) < 1e-3, i
+    assert all(r.evidence for r in got.values())
+
+
+@pytest.mark.parametrize("common", [16, 0])
+def test_nearest_is_exact(monkeypatch, common):
+    monkeypatch.setattr(toxicity, "DENSE", 512 if common else 0)
     rng = np.random.default_rng(3)
-    n, terms = 500, 12
-    x = rng.random((n, terms)) * (rng.random((n, terms)) < 0.3)
+    n, size = 500, 40
+    x = rng.random((n, size)) * (rng.random((n, size)) < np.geomspace(0.9, 0.01, size))
     x[x.sum(1) == 0, 0] = 1
     x /= np.sqrt((x**2).sum(1, keepdims=True))
-    postings = [(np.flatnonzero(x[:, t]), x[np.flatnonzero(x[:, t]), t]) for t in range(terms)]
-    index = toxicity.Index({}, np.ones(terms), list(range(n)), np.zeros(n), postings).prepare()
-    for q in x[:50]:
+    terms = toxicity.Terms(np.arange(size, dtype=np.uint64), np.ones(size))
+    index = toxicity.Index.of(terms, list(range(n)), np.zeros(n), [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in x])
+    assert (len(index.matrix) > 0) == (common > 0)
+    for i, q in enumerate(x[:50]):
         ids = np.flatnonzero(q)
-        got = [c for c, _ in index.nearest(ids, q[ids])]
-        want = np.sort(x @ q)[::-1][: index.k]
-        assert np.allclose(got, want[want > 0][: len(got)]) and len(got) == min(index.k, int((x @ q > 0).sum()))
+        for skip in (-1, i):
+            _, got = index.nearest(ids, q[ids], skip)
+            all_ = x @ q
+            if skip >= 0:
+                all_[skip] = 0
+            want = np.sort(all_[all_ > 0])[::-1][: index.k]
+            assert np.allclose(got, want, atol=1e-5) and len(got) == len(want)
 
 
 PAGES = [

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from undertow.llm import wordbpe
-from undertow.llm.common import read
+from undertow.llm.common import read, spread
 
 
 #: Rows encoded at a time; their ids are handed on before the next rows are read.
@@ -40,7 +40,7 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", path:
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), ids], [*names, out_col])
 
-    return docs.mapInArrow(run, schema)
+    return spread(docs).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
@@ -81,7 +81,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long")
+    out = spread(rows).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long")
     return out.withColumnRenamed("id", id_col)
 
 

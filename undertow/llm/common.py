@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from undertow.lineage import cut, shared_dir
 
-__all__ = ["WORD", "WS", "code_points", "cut", "is_empty", "read", "shared_dir", "utf8", "word_count"]
+__all__ = ["WORD", "WS", "code_points", "cut", "is_empty", "read", "shared_dir", "spread", "utf8", "word_count"]
 
 #: The ASCII white space that separates words in every contract here.
 WS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+SPREAD_BYTES = 64 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,5 +32,11 @@ def utf8(text: Column) -> Column:
     return F.encode(text, "UTF-8")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out over all cores where it is small: a small file is one partition, however costly its rows are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.llm import wordbpe
-from undertow.llm.common import read
+from undertow.llm.common import read, spread
 
 BLOCK_CHARS, BLOCK_DOCS = 16_000_000, 1 << 14
 FREQ_BITS = 18  # of the 32 bits of a posting; the others number the document in its block
@@ -73,7 +73,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     path = path or wordbpe.default_path()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = spread(docs.select(F.col(id_col).alias("id"), text.alias("text"))).withColumn("row", F.monotonically_increasing_id())
     kind = rows.schema["id"].dataType.simpleString()
     first = "word string, salt int, block long, postings binary"
 

@@ -1,15 +1,19 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The classifier is fitted on a bounded sample of labelled rows (``max_examples``). Terms are words and five-character
-word heads; a term counts when it is found in examples with the label far more often than chance allows, so the rest
-of a long text does not hide it. The examples' TF-IDF vectors over these terms form an inverted index whose postings
-are cut into blocks of BLOCK examples, with the largest weight of each term in each block. A text's cosine with a
-block cannot exceed the sum of its weights times these maxima; blocks are scored exactly in falling order of that
-bound until it falls below the k-th best cosine. The neighbours vote with their cosine as weight, and votes become
-probabilities by an isotonic fit to the examples' own votes, each taken without itself.
+The classifier is fitted on a bounded sample of labelled rows (``max_examples``). Every word of the sample is a term and
+every example with a word is in the index. A term's weight is its IDF, raised up to elevenfold the more surely the term
+marks the label (Chernoff bound of its count among the label's examples, in full at ``DOUBT`` over all terms), so the rest
+of a long text doesn't hide what it is judged by; no term is left out. The examples' unit vectors form an inverted index
+whose postings are cut into blocks of BLOCK examples, with the largest weight of each term in each block. A text's
+cosine with any example of a block cannot exceed the sum of its weights times these maxima; blocks are scored exactly in
+falling order of that bound until it falls below the k-th best cosine. Terms that more than one example in COMMON has
+(DENSE of them at most, the most frequent) are kept as rows of a matrix instead: their share of all cosines is one product,
+which tightens the bounds and gives a first floor. The neighbours vote with their cosine as weight,
+and votes become probabilities by an isotonic fit to the examples' own votes, each taken without itself.
 
 At scale: the index is bounded by ``max_examples`` and broadcast; documents are scored where they are read, without a
-shuffle. Term counts of the sample are aggregated in the cluster, and only selected terms reach the driver.
+shuffle. Term counts, vectors and the examples' own votes are made in the cluster; the driver gets the sample's terms and
+vectors as packed arrays. Terms are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,96 +25,160 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm.common import cut, read
-from undertow.llm.wordbpe import Memo
+from undertow.llm.common import cut, read, spread
 
-MAX_EXAMPLES = 16_384
-NEIGHBOURS, BLOCK, HEAD = 25, 64, 5
-MIN_LIFT, DOUBT = 3.0, 0.01
+MAX_EXAMPLES = 8192
+NEIGHBOURS, BLOCK = 25, 64
+COMMON, DENSE = 16, 512
+AT_ONCE, GROUP = 16, 64
+ROUNDING = 1e-5  # of 32-bit sums, in bounds
+RAISE, DOUBT = 10.0, 0.01
+SIGNS = 24  # of the most frequent terms: examples that share them come together in blocks
 _WORD = re.compile(r"[^\W_]+")
 
 
-def terms(word: str) -> tuple[str, ...]:
-    return (word, word[:HEAD] + "*") if len(word) > HEAD else (word,)
+def text_terms(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a text's words, ascending, and how often each occurs."""
+    count = Counter(_WORD.findall(text.lower()))
+    terms = np.fromiter(map(xxhash.xxh3_64_intdigest, count), np.uint64, len(count))
+    order = np.argsort(terms)
+    return terms[order], np.fromiter(count.values(), np.float64, len(count))[order]
 
 
-def text_terms(text: str) -> Counter:
-    out: Counter = Counter()
-    for word, n in Counter(_WORD.findall(text.lower())).items():
-        for term in terms(word):
-            out[term] += n
-    return out
+def _runs(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start and length, end to end."""
+    ends = np.cumsum(lens)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lens, lens)
+
+
+@dataclass
+class Terms:
+    """The terms of the sample, ascending, and their weights."""
+
+    terms: np.ndarray
+    weights: np.ndarray
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a text's terms, ascending, and their weights as a unit vector; words the sample lacks don't count."""
+        terms, n = text_terms(text)
+        at = np.searchsorted(self.terms, terms)
+        known = at < len(self.terms)
+        known[known] = self.terms[at[known]] == terms[known]
+        at = at[known]
+        weights = (1 + np.log(n[known])) * self.weights[at]
+        return at, weights / (math.sqrt((weights**2).sum()) or 1.0)
 
 
 @dataclass
 class Index:
-    """Block-max inverted index of the examples' unit vectors."""
+    """Block-max inverted index of the examples' unit vectors. Entries are the (term, block) pairs that have postings."""
 
-    term_ids: dict[str, int]
-    idf: np.ndarray
+    terms: Terms
     ids: list  # of the examples
     labels: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]  # by term: examples in order, weights
+    rows: np.ndarray  # by term, its row of the matrix, or -1
+    matrix: np.ndarray  # weights of common terms by row and example, padded to whole blocks
+    firsts: np.ndarray  # by term, its first entry; one more at the end
+    blocks: np.ndarray  # by entry
+    most: np.ndarray  # by entry, the largest weight
+    starts: np.ndarray  # by entry, its first posting; one more at the end
+    examples: np.ndarray  # by posting
+    weights: np.ndarray  # by posting
     k: int = NEIGHBOURS
     knots: np.ndarray = field(default_factory=lambda: np.zeros(1))  # votes, rising
     probabilities: np.ndarray = field(default_factory=lambda: np.zeros(1))
     nothing: float = 0.0  # probability of a text without any of the terms
 
-    def prepare(self) -> Index:
-        if getattr(self, "of_word", None) is not None:
-            return self
-        self.blocks = max(1, -(-len(self.ids) // BLOCK))
-        edges = np.arange(self.blocks + 1) * BLOCK
-        self.starts = np.array([np.searchsorted(e, edges) for e, _ in self.postings], np.int64).reshape(len(self.postings), len(edges))
-        self.most = np.zeros((len(self.postings), self.blocks))
-        for t, (examples, weights) in enumerate(self.postings):
-            np.maximum.at(self.most[t], examples // BLOCK, weights)
-        self.of_word = Memo(lambda w: tuple(i for x in terms(w) if (i := self.term_ids.get(x)) is not None), 100_000)
-        return self
-
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of a text that count, and their weights as a unit vector."""
-        found: dict[int, int] = {}
-        of_word = self.of_word
-        for word, n in Counter(_WORD.findall(text.lower())).items():
-            for i in of_word[word]:
-                found[i] = found.get(i, 0) + n
-        ids = np.array(sorted(found), np.int64)
-        weights = np.array([1 + math.log(found[i]) for i in ids.tolist()]) * self.idf[ids]
-        return ids, weights / (np.sqrt((weights**2).sum()) or 1.0)
-
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest with a positive cosine, nearest first; exact but for the order of ties."""
-        bound = weights @ self.most[ids]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == self.k and bound[b] <= best[-1][0] + 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(ids.tolist(), weights.tolist()):
-                a, z = self.starts[t, b], self.starts[t, b + 1]
-                if a < z:
-                    examples, own = self.postings[t]
-                    score[examples[a:z] - b * BLOCK] += w * own[a:z]
-            hits = [(float(score[j]), b * BLOCK + int(j)) for j in np.flatnonzero(score > 0) if b * BLOCK + j != skip]
-            best = sorted(best + hits, key=lambda x: (-x[0], x[1]))[: self.k]
-        return best
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        total = sum(c for c, _ in near)
-        return sum(c * self.labels[e] for c, e in near) / total if total else 0.0
+    @staticmethod
+    def of(terms: Terms, ids: list, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> Index:
+        """The index of examples in the given order."""
+        n, size = len(vectors), len(terms.terms)
+        example = np.repeat(np.arange(n), [len(t) for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
+        weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)]).astype(np.float32)
+        found = np.bincount(term, minlength=size)
+        often = np.argsort(-found, kind="stable")[:DENSE]
+        often = np.sort(often[found[often] * COMMON > n])
+        rows = np.full(size, -1, np.int16)
+        rows[often] = np.arange(len(often))
+        row = rows[term]
+        matrix = np.zeros((len(often), -(-max(1, n) // BLOCK) * BLOCK), np.float32)
+        matrix[row[row >= 0], example[row >= 0]] = weight[row >= 0]
+        term, example, weight = (x[row < 0] for x in (term, example, weight))
+        order = np.argsort(term, kind="stable")
+        term, example, weight = term[order], example[order], weight[order]
+        block = example // BLOCK
+        edge = np.flatnonzero(np.diff(term * matrix.shape[1] + block, prepend=-1))
+        return Index(
+            terms, ids, np.asarray(labels, float), rows, matrix, np.searchsorted(term[edge], np.arange(size + 1)).astype(np.int32),
+            block[edge].astype(np.int32), np.maximum.reduceat(weight, edge) if len(edge) else weight,
+            np.append(edge, len(term)).astype(np.int32), example.astype(np.int32), weight, k,
+        )
+
+    def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The share of common terms in the cosines of ``vectors`` (rows) with the examples."""
+        dense = np.zeros((len(vectors), len(self.matrix)), np.float32)
+        for k, (ids, weights) in enumerate(vectors):
+            row = self.rows[ids]
+            dense[k, row[row >= 0]] = weights[row >= 0]
+        return dense @ self.matrix
+
+    def nearest(self, ids: np.ndarray, weights: np.ndarray, skip: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and cosines of the k nearest with a positive cosine, nearest first; exact but for the order of ties.
+
+        ``base`` is the vector's row of ``common`` where that is known."""
+        base = self.common([(ids, weights)])[0] if base is None else base
+        if skip >= 0:
+            base[skip] = -np.inf
+        rare = self.rows[ids] < 0
+        ids, weights = ids[rare], weights[rare]
+        first, lens = self.firsts[ids], self.firsts[ids + 1] - self.firsts[ids]
+        entry, own = _runs(first, lens), np.repeat(weights, lens)
+        block = self.blocks[entry]
+        bound = base.reshape(-1, BLOCK).max(1) + np.bincount(block, own * self.most[entry], minlength=len(base) // BLOCK)
+        order = np.argsort(-bound, kind="stable")
+        floor = max(0.0, float(np.partition(base, -self.k)[-self.k])) if len(base) > self.k else 0.0
+        near, cosines, at, take = np.zeros(0, np.int64), np.zeros(0), 0, AT_ONCE
+        while at < len(order) and bound[order[at]] > max(ROUNDING, floor) - ROUNDING:
+            take = min(take, np.count_nonzero(bound > max(ROUNDING, floor) - ROUNDING) - at)
+            now = np.zeros(len(bound), bool)
+            now[order[at : at + take]] = True
+            at, take = at + take, take * 16
+            here = now[block]
+            start, some = self.starts[entry[here]], self.starts[entry[here] + 1]
+            posting = _runs(start, some - start)
+            score = base + np.bincount(self.examples[posting], np.repeat(own[here], some - start) * self.weights[posting], minlength=len(base))
+            hit = np.flatnonzero((score > max(0.0, floor - ROUNDING)) & np.repeat(now, BLOCK))
+            near, cosines = np.concatenate([near, hit]), np.concatenate([cosines, score[hit]])
+            best = np.lexsort((near, -cosines))[: self.k]
+            near, cosines = near[best], cosines[best]
+            if len(near) == self.k:
+                floor = max(floor, cosines[-1])
+        return near, cosines
+
+    def nearest_of(self, texts: list[str], skips: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each text, GROUP texts at a time."""
+        for k in range(0, len(texts), GROUP):
+            vectors = [self.terms.vector(t) for t in texts[k : k + GROUP]]
+            for j, (vector, base) in enumerate(zip(vectors, self.common(vectors))):
+                yield self.nearest(*vector, skip=skips[k + j] if skips else -1, base=base)
+
+    def vote(self, near: np.ndarray, cosines: np.ndarray) -> float:
+        return float((cosines * self.labels[near]).sum() / cosines.sum()) if len(near) else 0.0
 
     def calibrated(self, vote: float) -> float:
         return float(np.interp(vote, self.knots, self.probabilities))
 
-    def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
-        ids, weights = self.vector(text)
-        near = self.nearest(ids, weights) if len(ids) else []
-        return (self.calibrated(self.vote(near)) if near else self.nothing), near
+    def scores(self, texts: list[str]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Probability, nearest examples and their cosines of each text."""
+        for near, cosines in self.nearest_of(texts):
+            yield (self.calibrated(self.vote(near, cosines)) if len(near) else self.nothing), near, cosines
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,105 +192,118 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
 
 
+def marking(n: np.ndarray, hits: np.ndarray, texts: int, marked: int) -> np.ndarray:
+    """How surely terms found in ``n`` of the texts, ``hits`` of them with the label, mark it: 0 to 1."""
+    rate = marked / texts if texts else 0.0
+    if not 0 < rate < 1:
+        return np.zeros(len(n))
+    share = hits / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        hit = np.where(share > 0, share * np.log(share / rate), 0.0)
+        miss = np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - rate)), 0.0)
+    surprise = np.where(share > rate, n * (hit + miss), 0.0)
+    return np.minimum(1.0, surprise / math.log(max(1, len(n)) / DOUBT)) ** 2
+
+
 def _sample(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int) -> DataFrame:
-    """At most ``max_examples`` labelled texts (id, label, text), the first by a hash of the id."""
+    """At most ``max_examples`` labelled texts (id, label, text), the first by a hash of the id; of an id with several
+    texts the last in order."""
     known = (
         labels.filter("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg((F.max("label") > 0).cast("int").alias("label"))
         .filter(train).orderBy(F.xxhash64("id"), "id").limit(max_examples)
     )
-    return cut(docs.join(F.broadcast(known), "id").dropDuplicates(["id"]).select("id", "label", "text"))
+    return cut(docs.join(F.broadcast(known), "id").groupBy("id", "label").agg(F.max("text").alias("text")))
+
+
+def _batch_maker(shared, make):
+    """A mapInArrow function that gets the broadcast value and a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield make(shared.value, batch)
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> Index:
     """The index of a sample of labelled texts. ``docs``: id, text; ``labels``: id, label; ``train``: which ids to use.
 
-    Without a labelled text, or with texts of one label only, the index has no terms and every text scores the
-    smoothed share of the label.
+    An id with several labels has the label if any of them says so. Without a labelled text the index is empty and
+    every text scores 0; with texts of one label only, every text scores near that label's share.
     """
+    spark = docs.sparkSession
     sample = _sample(docs, labels, train, max_examples)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by: tuple[Counter, Counter] = (Counter(), Counter())
-            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
-                by[label].update(text_terms(text or "").keys())
-            every = list(by[0] | by[1])
+            found = [text_terms(text or "")[0] for text in batch.column("text").to_pylist()]
+            label = np.repeat(batch.column("label").to_numpy(), [len(t) for t in found])
+            every, which = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_inverse=True)
+            hits = np.bincount(which, label, minlength=len(every)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(every, pa.string()), pa.array([by[1][t] for t in every], pa.int64()), pa.array([by[0][t] + by[1][t] for t in every], pa.int64())],
-                ["term", "hits", "n"],
+                [pa.array(every.view(np.int64)), pa.array(hits), pa.array(np.bincount(which, minlength=len(every)))], ["term", "hits", "n"]
             )
 
-    base = sample.agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n")).first()
-    n, rate = base.n, (base.hits or 0) / max(1, base.n)
-    chosen: list = []
-    if 0 < rate < 1:
-        stats = cut(sample.mapInArrow(counts, "term string, hits long, n long").groupBy("term").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")))
-        share = F.col("hits") / F.col("n")
-        miss = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
-        surprise = F.col("n") * (share * F.log(share / rate) + miss)  # Chernoff bound of the binomial tail
-        least = math.log(max(1, stats.count()) / DOUBT)
-        other = (F.col("n") - F.col("hits") + 0.5) / (n - base.hits + 1)
-        lift = (F.col("hits") + 0.5) / (base.hits + 1) / other
-        chosen = sorted(stats.filter("hits > 0").filter((lift >= MIN_LIFT) & (surprise >= least)).select("term", "n").collect())
-    term_ids = {r.term: i for i, r in enumerate(chosen)}
-    index = Index(term_ids, np.array([math.log(1 + n / r.n) for r in chosen]), [], np.zeros(0), [(np.zeros(0, np.int64), np.zeros(0))] * len(chosen), k).prepare()
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index.prepare()
-        for batch in batches:
-            got = [index.vector(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("label"), pa.array([i.tolist() for i, _ in got], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in got], pa.list_(pa.float64()))],
-                ["id", "label", "terms", "weights"],
-            )
+    base = sample.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("hits"), F.count(F.lit(1)).alias("n")).first()
+    stats = sample.mapInArrow(counts, "term long, hits long, n long").groupBy("term").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")).toArrow()
+    term, hits, n = (stats.column(c).to_numpy() for c in ("term", "hits", "n"))
+    order = np.argsort(term.view(np.uint64))
+    term, hits, n = term.view(np.uint64)[order], hits[order], n[order]
+    terms = Terms(term, np.log(1 + base.n / n) * (1 + RAISE * marking(n, hits, base.n, base.hits)))
+    signs = np.argsort(-n, kind="stable")[:SIGNS]
+    shared = spark.sparkContext.broadcast(terms)
+
+    def vectors(own: Terms, batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = [own.vector(t or "") for t in batch.column("text").to_pylist()]
+        packed = [pa.array([x[side].astype(kind).tobytes() for x in got], pa.binary()) for side, kind in ((0, "<i4"), (1, "<f8"))]
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *packed], ["id", "label", "terms", "weights"])
 
     kind = sample.schema["id"].dataType.simpleString()
-    plain = sample.mapInArrow(vectors, f"id {kind}, label int, terms array<long>, weights array<double>")
-    none = plain.filter("size(terms) = 0").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n")).first()
-    rows = sorted(plain.filter("size(terms) > 0").collect(), key=lambda r: (r.terms, r.id))
-    index.ids, index.labels = [r.id for r in rows], np.array([r.label for r in rows])
-    lists: list[tuple[list, list]] = [([], []) for _ in chosen]
-    for e, r in enumerate(rows):
-        for t, w in zip(r.terms, r.weights):
-            lists[t][0].append(e)
-            lists[t][1].append(w)
-    index.postings = [(np.array(a, np.int64), np.array(b)) for a, b in lists]
-    index.of_word = None
-    index.nothing = ((none.hits or 0) + 0.5) / (none.n + 1) if n else 0.0
-    index.prepare()
-    votes, truth = [], []
-    for e, r in enumerate(rows):
-        if near := index.nearest(np.array(r.terms), np.array(r.weights), skip=e):
-            votes.append(index.vote(near))
-            truth.append(r.label)
-    if votes:
-        index.knots, index.probabilities = isotonic(np.array(votes), np.array(truth, float))
+    plain = sample.mapInArrow(_batch_maker(shared, vectors), f"id {kind}, label int, terms binary, weights binary").toArrow().to_pylist()
+    rows = [(r["id"], r["label"], np.frombuffer(r["terms"], "<i4").astype(np.int64), np.frombuffer(r["weights"], "<f8")) for r in plain]
+    none = [r[1] for r in rows if not len(r[2])]
+    rows = [r for r in rows if len(r[2])]
+    rows.sort(key=lambda r: (np.isin(signs, r[2]).tobytes(), r[0]))
+    index = Index.of(terms, [r[0] for r in rows], np.array([r[1] for r in rows]), [r[2:] for r in rows], k)
+    index.nothing = (sum(none) + (base.hits + 0.5) / (base.n + 1)) / (len(none) + 1) if base.n else 0.0
+    shared = spark.sparkContext.broadcast((index, {i: at for at, i in enumerate(index.ids)}))
+
+    def votes(own: tuple[Index, dict], batch: pa.RecordBatch) -> pa.RecordBatch:
+        index, places = own
+        texts, skips = [t or "" for t in batch.column("text").to_pylist()], [places.get(i, -1) for i in batch.column("id").to_pylist()]
+        got = [index.vote(*near) if len(near[0]) else None for near in index.nearest_of(texts, skips)]
+        return pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), batch.column("label")], ["vote", "label"])
+
+    spread = sample.repartition(spark.sparkContext.defaultParallelism)
+    cast = spread.mapInArrow(_batch_maker(shared, votes), "vote double, label int").filter("vote IS NOT NULL").toArrow()
+    if cast.num_rows:
+        index.knots, index.probabilities = isotonic(cast.column("vote").to_numpy(), cast.column("label").to_numpy().astype(float))
     return index
 
 
 def score(docs: DataFrame, index: Index, evidence: int = 5) -> DataFrame:
     """``docs`` (id, text) scored: id, score, predicted, evidence array<struct<id string, cosine, label>>.
 
-    One row per input row. Null and empty texts have no terms and score like other texts without any. ``evidence``
-    is the nearest examples, none for such texts.
+    One row per input row. Null and empty texts, and texts without a word of the sample, have no neighbours and score
+    the share of the label among such examples, smoothed by one case of the overall share; ``evidence`` is the nearest examples, none for such texts.
     """
-    index.of_word = None
-    shared = docs.sparkSession.sparkContext.broadcast(index)
     near_type = pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value.prepare()
-        for batch in batches:
-            got = [own.score(t.as_py() or "") for t in batch.column("text")]
-            near = [[{"id": str(own.ids[e]), "cosine": c, "label": int(own.labels[e])} for c, e in x[:evidence]] for _, x in got]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _ in got], pa.int32()), pa.array(near, near_type)],
-                ["id", "score", "predicted", "evidence"],
-            )
+    def run(own: Index, batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = list(own.scores([t or "" for t in batch.column("text").to_pylist()]))
+        near = [
+            [{"id": str(own.ids[e]), "cosine": c, "label": int(own.labels[e])} for e, c in zip(es[:evidence].tolist(), cs[:evidence].tolist())]
+            for _, es, cs in got
+        ]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("id"), pa.array([g[0] for g in got], pa.float64()), pa.array([int(g[0] >= 0.5) for g in got], pa.int32()), pa.array(near, near_type)],
+            ["id", "score", "predicted", "evidence"],
+        )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(
-        run, f"id {kind}, score double, predicted int, evidence array<struct<id: string, cosine: double, label: int>>"
+    return spread(docs.select("id", "text")).mapInArrow(
+        _batch_maker(docs.sparkSession.sparkContext.broadcast(index), run),
+        f"id {kind}, score double, predicted int, evidence array<struct<id: string, cosine: double, label: int>>",
     )
 
 
@@ -246,12 +327,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with their columns; scored and filtered in place."""
-    index.of_word = None
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf("boolean")
     def clean(texts):
-        own = shared.value.prepare()
-        return texts.map(lambda t: own.score(t or "")[0] < 0.5)
+        own = shared.value
+        return pd.Series([p < 0.5 for p, _, _ in own.scores(list(texts))], dtype=bool)
 
-    return docs.filter(clean(F.coalesce(F.col(text_col), F.lit(""))))
+    return spread(docs).filter(clean(F.coalesce(F.col(text_col), F.lit(""))))
