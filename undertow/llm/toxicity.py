@@ -91,6 +91,7 @@ class Index:
     examples: np.ndarray  # by posting
     weights: np.ndarray  # by posting
     k: int = NEIGHBOURS
+    size: int = BLOCK
     knots: np.ndarray = field(default_factory=lambda: np.zeros(1))  # votes, rising
     probabilities: np.ndarray = field(default_factory=lambda: np.zeros(1))
     nothing: float = 0.0  # probability of a text without any of the terms
@@ -98,7 +99,7 @@ class Index:
     @staticmethod
     def of(terms: Terms, ids: list, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> Index:
         """The index of examples in the given order."""
-        n, size = len(vectors), len(terms.terms)
+        n, size, per = len(vectors), len(terms.terms), BLOCK
         example = np.repeat(np.arange(n), [len(t) for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
         weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)]).astype(np.float32)
@@ -108,17 +109,17 @@ class Index:
         rows = np.full(size, -1, np.int16)
         rows[often] = np.arange(len(often))
         row = rows[term]
-        matrix = np.zeros((len(often), -(-max(1, n) // BLOCK) * BLOCK), np.float32)
+        matrix = np.zeros((len(often), -(-max(1, n) // per) * per), np.float32)
         matrix[row[row >= 0], example[row >= 0]] = weight[row >= 0]
         term, example, weight = (x[row < 0] for x in (term, example, weight))
         order = np.argsort(term, kind="stable")
         term, example, weight = term[order], example[order], weight[order]
-        block = example // BLOCK
+        block = example // per
         edge = np.flatnonzero(np.diff(term * matrix.shape[1] + block, prepend=-1))
         return Index(
             terms, ids, np.asarray(labels, float), rows, matrix, np.searchsorted(term[edge], np.arange(size + 1)).astype(np.int32),
             block[edge].astype(np.int32), np.maximum.reduceat(weight, edge) if len(edge) else weight,
-            np.append(edge, len(term)).astype(np.int32), example.astype(np.int32), weight, k,
+            np.append(edge, len(term)).astype(np.int32), example.astype(np.int32), weight, k, per,
         )
 
     def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -141,7 +142,7 @@ class Index:
         first, lens = self.firsts[ids], self.firsts[ids + 1] - self.firsts[ids]
         entry, own = _runs(first, lens), np.repeat(weights, lens)
         block = self.blocks[entry]
-        bound = base.reshape(-1, BLOCK).max(1) + np.bincount(block, own * self.most[entry], minlength=len(base) // BLOCK)
+        bound = base.reshape(-1, self.size).max(1) + np.bincount(block, own * self.most[entry], minlength=len(base) // self.size)
         order = np.argsort(-bound, kind="stable")
         floor = max(0.0, float(np.partition(base, -self.k)[-self.k])) if len(base) > self.k else 0.0
         near, cosines, at, take = np.zeros(0, np.int64), np.zeros(0), 0, AT_ONCE
@@ -154,7 +155,7 @@ class Index:
             start, some = self.starts[entry[here]], self.starts[entry[here] + 1]
             posting = _runs(start, some - start)
             score = base + np.bincount(self.examples[posting], np.repeat(own[here], some - start) * self.weights[posting], minlength=len(base))
-            hit = np.flatnonzero((score > max(0.0, floor - ROUNDING)) & np.repeat(now, BLOCK))
+            hit = np.flatnonzero((score > max(0.0, floor - ROUNDING)) & np.repeat(now, self.size))
             near, cosines = np.concatenate([near, hit]), np.concatenate([cosines, score[hit]])
             best = np.lexsort((near, -cosines))[: self.k]
             near, cosines = near[best], cosines[best]
