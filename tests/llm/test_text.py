@@ -172,7 +172,7 @@ def test_nearest_is_exact(monkeypatch, common):
     x /= np.sqrt((x**2).sum(1, keepdims=True))
     terms = toxicity.Terms(np.arange(size, dtype=np.uint64), np.ones(size))
     index = toxicity.Index.of(terms, list(range(n)), np.zeros(n), [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in x])
-    assert (len(index.matrix) > 0) == (common > 0)
+    assert (len(index.prepare().matrix) > 0) == (common > 0)
     for i, q in enumerate(x[:50]):
         ids = np.flatnonzero(q)
         for skip in (-1, i):

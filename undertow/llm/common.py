@@ -12,7 +12,7 @@ __all__ = ["WORD", "WS", "code_points", "cut", "is_empty", "read", "shared_dir",
 #: The ASCII white space that separates words in every contract here.
 WS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-SPREAD_BYTES = 64 << 20
+SPREAD_BYTES = 32 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,9 @@ def utf8(text: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt out over all cores where it is small: a small file is one partition, however costly its rows are."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """``df``, dealt out over all cores where what it reads is small: a small file is one partition, however costly its rows."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
 
 

@@ -77,21 +77,17 @@ class Terms:
 
 @dataclass
 class Index:
-    """Block-max inverted index of the examples' unit vectors. Entries are the (term, block) pairs that have postings."""
+    """Block-max inverted index of the examples' unit vectors; ``prepare`` lays out its blocks where it is used."""
 
     terms: Terms
     ids: list  # of the examples
     labels: np.ndarray
-    rows: np.ndarray  # by term, its row of the matrix, or -1
-    matrix: np.ndarray  # weights of common terms by row and example, padded to whole blocks
-    firsts: np.ndarray  # by term, its first entry; one more at the end
-    blocks: np.ndarray  # by entry
-    most: np.ndarray  # by entry, the largest weight
-    starts: np.ndarray  # by entry, its first posting; one more at the end
+    firsts: np.ndarray  # by term, its first posting; one more at the end
     examples: np.ndarray  # by posting
     weights: np.ndarray  # by posting
     k: int = NEIGHBOURS
     size: int = BLOCK
+    dense: int = DENSE
     knots: np.ndarray = field(default_factory=lambda: np.zeros(1))  # votes, rising
     probabilities: np.ndarray = field(default_factory=lambda: np.zeros(1))
     nothing: float = 0.0  # probability of a text without any of the terms
@@ -99,31 +95,48 @@ class Index:
     @staticmethod
     def of(terms: Terms, ids: list, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> Index:
         """The index of examples in the given order."""
-        n, size, per = len(vectors), len(terms.terms), BLOCK
-        example = np.repeat(np.arange(n), [len(t) for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
         weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)]).astype(np.float32)
-        found = np.bincount(term, minlength=size)
-        often = np.argsort(-found, kind="stable")[:DENSE]
+        order = np.argsort(term, kind="stable")
+        firsts = np.searchsorted(term[order], np.arange(len(terms.terms) + 1)).astype(np.int32)
+        kind = np.uint16 if len(vectors) < 1 << 16 else np.uint32
+        return Index(terms, ids, np.asarray(labels, float), firsts, example[order].astype(kind), weight[order], k, BLOCK, DENSE)
+
+    def __getstate__(self) -> dict:
+        return {f: getattr(self, f) for f in self.__dataclass_fields__}
+
+    def shared(self, spark: SparkSession):
+        """The index as one broadcast value, made once; its calibration may be of an earlier time."""
+        if getattr(self, "_shared", None) is None:
+            self._shared = spark.sparkContext.broadcast(self)
+        return self._shared
+
+    def prepare(self) -> Index:
+        """The matrix of common terms, and of the others the entries: the (term, block) pairs that have postings."""
+        if getattr(self, "rows", None) is not None:
+            return self
+        n, found = len(self.ids), np.diff(self.firsts)
+        often = np.argsort(-found, kind="stable")[: self.dense]
         often = np.sort(often[found[often] * COMMON > n])
-        rows = np.full(size, -1, np.int16)
+        rows = np.full(len(found), -1, np.int16)
         rows[often] = np.arange(len(often))
-        row = rows[term]
-        matrix = np.zeros((len(often), -(-max(1, n) // per) * per), np.float32)
-        matrix[row[row >= 0], example[row >= 0]] = weight[row >= 0]
-        term, example, weight = (x[row < 0] for x in (term, example, weight))
-        order = np.argsort(term, kind="stable")
-        term, example, weight = term[order], example[order], weight[order]
-        block = example // per
-        edge = np.flatnonzero(np.diff(term * matrix.shape[1] + block, prepend=-1))
-        return Index(
-            terms, ids, np.asarray(labels, float), rows, matrix, np.searchsorted(term[edge], np.arange(size + 1)).astype(np.int32),
-            block[edge].astype(np.int32), np.maximum.reduceat(weight, edge) if len(edge) else weight,
-            np.append(edge, len(term)).astype(np.int32), example.astype(np.int32), weight, k, per,
-        )
+        term = np.repeat(np.arange(len(found)), found)
+        example, weight, row = self.examples.astype(np.int32), self.weights, rows[term]
+        self.matrix = np.zeros((len(often), -(-max(1, n) // self.size) * self.size), np.float32)  # padded to whole blocks
+        self.matrix[row[row >= 0], example[row >= 0]] = weight[row >= 0]
+        term, self.example, self.weight = (x[row < 0] for x in (term, example, weight))
+        block = self.example // self.size
+        edge = np.flatnonzero(np.diff(term * self.matrix.shape[1] + block, prepend=-1))
+        self.entries = np.searchsorted(term[edge], np.arange(len(found) + 1)).astype(np.int32)  # by term, its first; one more
+        self.blocks, self.starts = block[edge], np.append(edge, len(term)).astype(np.int32)  # by entry; first posting, one more
+        self.most = np.maximum.reduceat(self.weight, edge) if len(edge) else self.weight  # by entry, the largest weight
+        self.rows = rows
+        return self
 
     def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The share of common terms in the cosines of ``vectors`` (rows) with the examples."""
+        self.prepare()
         dense = np.zeros((len(vectors), len(self.matrix)), np.float32)
         for k, (ids, weights) in enumerate(vectors):
             row = self.rows[ids]
@@ -139,7 +152,7 @@ class Index:
             base[skip] = -np.inf
         rare = self.rows[ids] < 0
         ids, weights = ids[rare], weights[rare]
-        first, lens = self.firsts[ids], self.firsts[ids + 1] - self.firsts[ids]
+        first, lens = self.entries[ids], self.entries[ids + 1] - self.entries[ids]
         entry, own = _runs(first, lens), np.repeat(weights, lens)
         block = self.blocks[entry]
         bound = base.reshape(-1, self.size).max(1) + np.bincount(block, own * self.most[entry], minlength=len(base) // self.size)
@@ -154,7 +167,7 @@ class Index:
             here = now[block]
             start, some = self.starts[entry[here]], self.starts[entry[here] + 1]
             posting = _runs(start, some - start)
-            score = base + np.bincount(self.examples[posting], np.repeat(own[here], some - start) * self.weights[posting], minlength=len(base))
+            score = base + np.bincount(self.example[posting], np.repeat(own[here], some - start) * self.weight[posting], minlength=len(base))
             hit = np.flatnonzero((score > max(0.0, floor - ROUNDING)) & np.repeat(now, self.size))
             near, cosines = np.concatenate([near, hit]), np.concatenate([cosines, score[hit]])
             best = np.lexsort((near, -cosines))[: self.k]
@@ -173,13 +186,14 @@ class Index:
     def vote(self, near: np.ndarray, cosines: np.ndarray) -> float:
         return float((cosines * self.labels[near]).sum() / cosines.sum()) if len(near) else 0.0
 
-    def calibrated(self, vote: float) -> float:
-        return float(np.interp(vote, self.knots, self.probabilities))
+    def calibration(self) -> tuple[np.ndarray, np.ndarray, float]:
+        return self.knots, self.probabilities, self.nothing
 
-    def scores(self, texts: list[str]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    def scores(self, texts: list[str], calibration: tuple[np.ndarray, np.ndarray, float]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
         """Probability, nearest examples and their cosines of each text."""
+        knots, probabilities, nothing = calibration
         for near, cosines in self.nearest_of(texts):
-            yield (self.calibrated(self.vote(near, cosines)) if len(near) else self.nothing), near, cosines
+            yield (float(np.interp(self.vote(near, cosines), knots, probabilities)) if len(near) else nothing), near, cosines
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,16 +281,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = M
     rows.sort(key=lambda r: (np.isin(signs, r[2]).tobytes(), r[0]))
     index = Index.of(terms, [r[0] for r in rows], np.array([r[1] for r in rows]), [r[2:] for r in rows], k)
     index.nothing = (sum(none) + (base.hits + 0.5) / (base.n + 1)) / (len(none) + 1) if base.n else 0.0
-    shared = spark.sparkContext.broadcast((index, {i: at for at, i in enumerate(index.ids)}))
 
-    def votes(own: tuple[Index, dict], batch: pa.RecordBatch) -> pa.RecordBatch:
-        index, places = own
+    def votes(index: Index, batch: pa.RecordBatch) -> pa.RecordBatch:
+        places = {i: at for at, i in enumerate(index.ids)}
         texts, skips = [t or "" for t in batch.column("text").to_pylist()], [places.get(i, -1) for i in batch.column("id").to_pylist()]
         got = [index.vote(*near) if len(near[0]) else None for near in index.nearest_of(texts, skips)]
         return pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), batch.column("label")], ["vote", "label"])
 
     spread = sample.repartition(spark.sparkContext.defaultParallelism)
-    cast = spread.mapInArrow(_batch_maker(shared, votes), "vote double, label int").filter("vote IS NOT NULL").toArrow()
+    cast = spread.mapInArrow(_batch_maker(index.shared(spark), votes), "vote double, label int").filter("vote IS NOT NULL").toArrow()
     if cast.num_rows:
         index.knots, index.probabilities = isotonic(cast.column("vote").to_numpy(), cast.column("label").to_numpy().astype(float))
     return index
@@ -288,10 +301,11 @@ def score(docs: DataFrame, index: Index, evidence: int = 5) -> DataFrame:
     One row per input row. Null and empty texts, and texts without a word of the sample, have no neighbours and score
     the share of the label among such examples, smoothed by one case of the overall share; ``evidence`` is the nearest examples, none for such texts.
     """
+    calibration = index.calibration()
     near_type = pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(own: Index, batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = list(own.scores([t or "" for t in batch.column("text").to_pylist()]))
+        got = list(own.scores([t or "" for t in batch.column("text").to_pylist()], calibration))
         near = [
             [{"id": str(own.ids[e]), "cosine": c, "label": int(own.labels[e])} for e, c in zip(es[:evidence].tolist(), cs[:evidence].tolist())]
             for _, es, cs in got
@@ -303,7 +317,7 @@ def score(docs: DataFrame, index: Index, evidence: int = 5) -> DataFrame:
 
     kind = docs.schema["id"].dataType.simpleString()
     return spread(docs.select("id", "text")).mapInArrow(
-        _batch_maker(docs.sparkSession.sparkContext.broadcast(index), run),
+        _batch_maker(index.shared(docs.sparkSession), run),
         f"id {kind}, score double, predicted int, evidence array<struct<id: string, cosine: double, label: int>>",
     )
 
@@ -328,11 +342,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with their columns; scored and filtered in place."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared, calibration = index.shared(docs.sparkSession), index.calibration()
 
     @F.pandas_udf("boolean")
     def clean(texts):
         own = shared.value
-        return pd.Series([p < 0.5 for p, _, _ in own.scores(list(texts))], dtype=bool)
+        return pd.Series([p < 0.5 for p, _, _ in own.scores(list(texts), calibration)], dtype=bool)
 
     return spread(docs).filter(clean(F.coalesce(F.col(text_col), F.lit(""))))
