@@ -105,6 +105,7 @@ def brute(rows):
 
 def test_near(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)  # many cells
+    monkeypatch.setattr(near_dedup, "CELL_MEMBERS", 4)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(3000)]
     rows, n = [(0, None), (1, ""), (2, "one two"), (3, "ONE  two\n"), (4, "é x"), (5, "É x")], 6
@@ -130,6 +131,50 @@ def test_near(spark, monkeypatch):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def test_near_hot(spark, monkeypatch):
+    """Thousands of near copies that share most buckets, with some texts that are near to few of them: no quadratic step."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(base[:-1] + [f"end{i}"])) for i in range(3000)]
+    rows += [(5000 + i, " ".join([f"x{i}"] + base[1:40] + [f"y{i}"] + base[41:-2])) for i in range(20)]
+    rng.shuffle(rows)
+    seen = []
+
+    def cells(members, key, load):
+        out = real(members, key, load)
+        seen.append(out.count())
+        return out
+
+    real = near_dedup._cells
+    monkeypatch.setattr(near_dedup, "BLOCK", 100)
+    monkeypatch.setattr(near_dedup, "CELL_MEMBERS", 100)
+    monkeypatch.setattr(near_dedup, "_cells", cells)
+    got = by_id(near_dedup.near_groups(frame(spark, rows)))
+    want = brute([r for r in rows if r[0] < 3 or r[0] >= 5000])
+    assert all(got[i].component_id == 0 for i in range(3000))
+    assert {i: got[i].component_id for i in range(5000, 5020)} == {i: want[i][1] for i in range(5000, 5020)}
+    assert sum(seen) <= 3 * near_dedup.BANDS * len(rows)  # a bucket of 3000 in blocks of 100 had 30 rows per member
+
+
+def test_cells_cover_every_pair_of_different_components(spark):
+    rng = random.Random(2)
+    members = [(b, 1000 * b + v, rng.choice([1, 1, 1, 2, 3, *range(10, 30)])) for b, n in enumerate([1, 3, 20, 200]) for v in range(n)]
+    df = spark.createDataFrame(members, "bucket long, v long, comp long")
+    cells: dict = {}
+    for r in near_dedup._cells(df, "bucket", F.lit(1 / 16)).collect():
+        cells.setdefault((r.bucket, r.cell, r.j), []).append((r.own, r.v, r.comp))
+    met = set()
+    for (bucket, _, j), rows in cells.items():
+        assert len(rows) < 100
+        for own, v, c in rows:
+            for own2, w, d in rows:
+                if c != d and v != w and (j == 0 or own != own2):
+                    assert (bucket, min(v, w), max(v, w), own > own2) not in met
+                    met.add((bucket, min(v, w), max(v, w)))
+    want = {(b, min(v, w), max(v, w)) for b, v, c in members for b2, w, d in members if b == b2 and v != w and c != d}
+    assert met == want
+
+
 def test_near_edges(spark):
     assert near_dedup.near_groups(frame(spark, [])).collect() == []
     long = " ".join(f"w{i}" for i in range(60_000))

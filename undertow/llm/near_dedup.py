@@ -5,17 +5,19 @@ key of each of BANDS buckets, and the low BITS bits of each, packed into longs,
 bucket are candidates; the similarity estimated by counting unequal signature digits, corrected for chance collisions,
 drops those that are five standard deviations below the threshold; the rest are confirmed on their full sets.
 
-Groups, not pairs, are the result, so links are looked for in two steps. First each text is compared with its two most
-similar ones of those in its buckets, and what is confirmed is contracted. What is still apart but similar by estimate in
-some bucket forms clusters; all texts of a cluster are compared on their full sets, in cells of bounded size, and the
-links that connect them are kept. Pairs inside a group are never listed, and no pair whose ends are apart is left out.
+Groups, not pairs, are the result, so links are looked for in two steps. First each text is compared with the first and
+the last of each of its buckets, which is linear in a bucket's size; the two most similar of these are confirmed and
+contracted. What is still apart but similar by estimate in some bucket forms clusters; all texts of a cluster are compared
+on their full sets, in cells of bounded size, and the links that connect them are kept. Blocks of a large component are
+compared with other components only. Pairs inside a group are never listed, and no pair whose ends are apart is left out.
 
 Chance of missing a link at similarity 0.75: (1 - 0.75**5)**51, about one in a million, in the buckets, and less in
 the estimate. Shingles are compared by 64-bit hashes.
 
 At scale: texts with equal sets are one vertex; what moves per vertex is 51 bucket keys of 16 bytes and, for those
 that meet others, a signature of 128 bytes. Full sets are made for candidates only, from the texts, and written once.
-Hot buckets are aggregated partially, joined with AQE's skew handling, and compared in cells of two blocks.
+Hot buckets are aggregated partially, joined with AQE's skew handling, and what is left of them is compared in cells of two
+blocks.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from undertow.llm.common import cut, is_empty, read
+from undertow.llm.common import cut, is_empty, read, spread
 from undertow.llm.components import components
 from undertow.llm.wordbpe import Memo
 
@@ -190,72 +192,118 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: float) -> DataFrame:
     return cut(with_both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"))
 
 
-def _apart(members: DataFrame, limit: int, percent: float, nearest: bool) -> DataFrame:
-    """Pairs (v, w, unequal) of a bucket with different comps and at most ``limit`` unequal digits.
+def _unequal(a: Column, b: Column) -> Column:
+    """Number of unequal digits of two signatures."""
 
-    ``members``: bucket, n, v, comp, n_shingles, sig. With ``nearest``, each v's most similar w; else as many pairs as
-    connect all comps that such pairs connect, so fewer than there are comps. A bucket of n members is cut into
-    ceil(n / BLOCK) blocks, and every cell of two blocks is compared on its own, so a task holds two blocks at most.
+    def digits(x: Column, y: Column) -> Column:
+        v = x.bitwiseXOR(y)
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 1))
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 2))
+        return F.bit_count(v.bitwiseAND(F.lit(int(_DIGITS))))
+
+    return F.aggregate(F.zip_with(a, b, digits), F.lit(0), lambda total, n: total + n)
+
+
+def _to_ends(members: DataFrame, marks: DataFrame, limit: int, percent: float) -> DataFrame:
+    """Each v of ``members`` (bucket, v) with the two most similar, by estimate, of the first and last of its buckets (w)."""
+    ends = members.groupBy("bucket").agg(F.min("v").alias("first"), F.max("v").alias("last"))
+    pairs = members.join(ends, "bucket").select("v", F.explode(F.array("first", "last")).alias("w")).filter("v <> w").distinct()
+    of_w = marks.select(F.col("v").alias("w"), F.col("n_shingles").alias("n_w"), F.col("sig").alias("sig_w"))
+    near = (
+        pairs.join(marks, "v").join(of_w, "w")
+        .filter(100 * F.least("n_shingles", "n_w") >= percent * F.greatest("n_shingles", "n_w"))
+        .select("v", "w", _unequal(F.col("sig"), F.col("sig_w")).alias("unequal")).filter(F.col("unequal") <= limit)
+    )
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("unequal", "w"))
+    return near.withColumn("rank", rank).filter("rank <= 2").select("v", "w")
+
+
+def _cells(members: DataFrame, key: str, load: Column) -> DataFrame:
+    """``members`` (key, v, comp, ...) dealt to cells: with cell, j and own, one row per cell that a member is in.
+
+    ``load`` is a member's share of a block. A key with a load of 1 at most is one cell (j = own = 0). Otherwise the
+    components with more than a block's load are cut into blocks of their own and the others are dealt to blocks whole;
+    a cell is two blocks (own tells which, j = 1) or one of the latter by itself, but never two of one component.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("v"), blocks).cast("int")
-    cells = (
-        members.withColumn("blocks", blocks).withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "comp", "n_shingles", "sig")
+    members = members.withColumn("load", load)
+    hot = members.groupBy(key).agg(F.sum("load").alias("total")).filter("total > 1.000001").select(F.col(key).alias("h_key"))
+    hot = cut(hot)
+    one = [F.lit(0).cast("long").alias("cell"), F.lit(0).alias("j"), F.lit(0).alias("own")]
+    plain = members.join(hot, F.col(key) == F.col("h_key"), "left_anti").drop("load").select("*", *one)
+    if is_empty(hot):
+        return plain
+    members = cut(members.join(hot, F.col(key) == F.col("h_key"), "left_semi"))
+    comps = cut(members.groupBy(key, "comp").agg(F.sum("load").alias("load")))
+    large = comps.filter("load > 1").select(key, "comp", F.ceil("load").cast("int").alias("subs"))
+    small = comps.filter("load <= 1").groupBy(key).agg(F.ceil(F.sum("load")).cast("int").alias("subs"))
+    blocks = cut(
+        large.select(key, F.col("comp").alias("c"), F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("s"))
+        .unionByName(small.select(key, F.lit(-1).cast("long").alias("c"), F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("s")))
+    )
+    a, b = (blocks.select(F.col(key).alias(f"k_{x}"), F.col("c").alias(f"c_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
+    before = (F.col("c_a") < F.col("c_b")) | (F.col("c_a") == -1) & (F.col("c_b") == -1) & (F.col("s_a") <= F.col("s_b"))
+    same = (F.col("c_a") == F.col("c_b")) & (F.col("s_a") == F.col("s_b"))
+    pairs = cut(
+        a.join(b, (F.col("k_a") == F.col("k_b")) & before)
+        .select(F.col("k_a").alias("p_key"), "c_a", "s_a", "c_b", "s_b", F.when(same, 0).otherwise(1).alias("j"), F.monotonically_increasing_id().alias("cell"))
+    )
+    sides = pairs.select("p_key", F.col("c_a").alias("p_c"), F.col("s_a").alias("p_s"), "cell", "j", F.lit(0).alias("own")).unionByName(
+        pairs.filter("j = 1").select("p_key", F.col("c_b").alias("p_c"), F.col("s_b").alias("p_s"), "cell", "j", F.lit(1).alias("own"))
     )
+    dealt = (
+        members.join(large.select(F.col(key).alias("l_key"), F.col("comp").alias("l_comp"), F.col("subs").alias("l_subs")), (F.col(key) == F.col("l_key")) & (F.col("comp") == F.col("l_comp")), "left")
+        .join(small.select(F.col(key).alias("s_key"), F.col("subs").alias("s_subs")), F.col(key) == F.col("s_key"), "left")
+        .withColumn("m_c", F.when(F.col("l_subs").isNotNull(), F.col("comp")).otherwise(-1))
+        .withColumn("m_s", F.when(F.col("l_subs").isNotNull(), F.pmod(F.xxhash64("v"), F.col("l_subs"))).otherwise(F.pmod(F.xxhash64("comp"), F.col("s_subs"))).cast("int"))
+    )
+    columns = [c for c in plain.columns if c not in ("cell", "j", "own")]
+    dealt = dealt.join(sides, (F.col(key) == F.col("p_key")) & (F.col("m_c") == F.col("p_c")) & (F.col("m_s") == F.col("p_s")))
+    return plain.unionByName(dealt.select(*columns, "cell", "j", "own"))
+
+
+def _apart(members: DataFrame, limit: int, percent: float) -> DataFrame:
+    """Pairs (v, w) of a bucket with different comps and at most ``limit`` unequal digits: as many as connect all comps
+    that such pairs connect, so fewer in a cell than there are comps.
+
+    ``members``: bucket, v, comp, n_shingles, sig. A task holds two blocks of BLOCK members at a time.
+    """
+    cells = _cells(members, "bucket", F.lit(1.0 / BLOCK)).select("bucket", "cell", "j", "own", "v", "comp", "n_shingles", "sig")
 
-    def cell(frame: list, i: int, j: int) -> tuple[list, list, list]:
+    def cell(frame: list, j: int) -> tuple[list, list]:
         own, v, comp, n, sig = (np.concatenate(x) for x in zip(*frame)) if len(frame) > 1 else frame[0]
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found: tuple[list, list, list] = ([], [], [])
-        best = np.full(len(v), limit + 1)  # the least number of unequal digits so far, and whose
-        whose = np.zeros(len(v), np.int64)
+        left, right = np.flatnonzero(own == 0), np.flatnonzero(own == j)
+        found: tuple[list, list] = ([], [])
         group = comp.copy()
         for k in left.tolist():
-            other = right[right > k] if i == j else right
+            other = right[right > k] if j == 0 else right
             other = other[(group[other] != group[k]) & (100 * np.minimum(n[other], n[k]) >= percent * np.maximum(n[other], n[k]))]
-            if not len(other):
-                continue
-            u = unequal(sig[other], sig[k])
-            if nearest:
-                closer = u < best[other]
-                best[other[closer]], whose[other[closer]] = u[closer], v[k]
-                m = int(u.argmin())
-                if u[m] < best[k]:
-                    best[k], whose[k] = u[m], v[other[m]]
-                continue
-            other, u = other[u <= limit], u[u <= limit]
+            other = other[unequal(sig[other], sig[k]) <= limit]
             while len(other):
-                for x, y in zip(found, (v[k], v[other[0]], u[0])):
+                for x, y in zip(found, (v[k], v[other[0]])):
                     x.append(np.array([y]))
                 group[group == group[other[0]]] = group[k]
-                apart = group[other] != group[k]
-                other, u = other[apart], u[apart]
-        if nearest:
-            hit = best <= limit
-            return [v[hit]], [whose[hit]], [best[hit]]
+                other = other[group[other] != group[k]]
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, frame, out = None, [], ([], [], [])
+        key, frame, out = None, [], ([], [])
 
         def done() -> pa.RecordBatch:
             columns = [np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in out]
             for x in out:
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["v", "w", "unequal"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["v", "w"])
 
         def add() -> None:
-            for x, more in zip(out, cell(frame, key[1], key[2])):
+            for x, more in zip(out, cell(frame, key[2])):
                 x.extend(more)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(c).to_numpy() for c in ("bucket", "i", "j", "own", "v", "comp", "n_shingles")]
+            columns = [batch.column(c).to_numpy() for c in ("bucket", "cell", "j", "own", "v", "comp", "n_shingles")]
             sig = batch.column("sig").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
-            change = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])) + 1
+            change = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])) + 1
             for a, z in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
                 this = tuple(int(c[a]) for c in columns[:3])
                 if key is not None and this != key:
@@ -268,25 +316,21 @@ def _apart(members: DataFrame, limit: int, percent: float, nearest: bool) -> Dat
             add()
             yield done()
 
-    dealt = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(run, "v long, w long, unequal long")
+    dealt = cells.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
+    return dealt.mapInArrow(run, "v long, w long")
 
 
 def _cluster_links(members: DataFrame, percent: float) -> DataFrame:
     """Links (a, b) between different comps of a cluster, confirmed on full sets: as many as connect what all would.
 
-    ``members``: cluster, v, comp, n_shingles, set. A cluster is cut into blocks of about CELL_MEMBERS members and
-    CELL_SHINGLES shingles, and every cell of two blocks is compared on its own through an inverted index of its sets.
+    ``members``: cluster, v, comp, n_shingles, set. A task holds two blocks of CELL_MEMBERS members or CELL_SHINGLES
+    shingles at a time and compares them through an inverted index of their sets.
     """
-    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
-    size = size.select("cluster", F.ceil(F.greatest(F.col("n") / CELL_MEMBERS, F.col("s") / CELL_SHINGLES)).cast("int").alias("blocks"))
-    cells = (
-        members.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "comp", "set")
-    )
+    load = F.greatest(F.lit(1.0 / CELL_MEMBERS), F.col("n_shingles") / CELL_SHINGLES)
+    sets = members.select("v", "set")
+    cells = _cells(members.drop("set"), "cluster", load).join(sets, "v").select("cluster", "cell", "j", "own", "v", "comp", "set")
 
-    def cell(own: list, v: list, comp: list, sets: list, i: int, j: int) -> list[tuple[int, int]]:
+    def cell(own: list, v: list, comp: list, sets: list, j: int) -> list[tuple[int, int]]:
         own, group = np.array(own), np.array(comp)
         sets = [np.frombuffer(x, "<u8") for x in sets]
         n = np.array([len(x) for x in sets])
@@ -294,7 +338,7 @@ def _cluster_links(members: DataFrame, percent: float) -> DataFrame:
         _, which = np.unique(np.concatenate(sets), return_inverse=True)
         holders = np.repeat(np.arange(len(sets)), n)[np.argsort(which, kind="stable")]  # members by shingle
         edges = np.concatenate([[0], np.cumsum(np.bincount(which))])
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        left, right = np.flatnonzero(own == 0), np.flatnonzero(own == j)
         out = []
         for k in left.tolist():
             if len(np.unique(group)) == 1:
@@ -303,7 +347,7 @@ def _cluster_links(members: DataFrame, percent: float) -> DataFrame:
             lens = edges[at + 1] - edges[at]
             ends = np.cumsum(lens)
             both = np.bincount(holders[np.arange(ends[-1]) + np.repeat(edges[at] - ends + lens, lens)], minlength=len(sets))
-            other = right[right > k] if i == j else right
+            other = right[right > k] if j == 0 else right
             other = other[(group[other] != group[k]) & (100 * both[other] >= percent * (n[other] + n[k] - both[other]))]
             while len(other):
                 out.append((min(v[k], v[other[0]]), max(v[k], v[other[0]])))
@@ -315,11 +359,11 @@ def _cluster_links(members: DataFrame, percent: float) -> DataFrame:
         key, frame = None, []
 
         def done() -> pa.RecordBatch:
-            links = cell(*(list(x) for x in zip(*frame)), key[1], key[2])
+            links = cell(*(list(x) for x in zip(*frame)), key[2])
             return pa.RecordBatch.from_arrays([pa.array([x[side] for x in links], pa.int64()) for side in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j")))
+            keys = zip(*(batch.column(c).to_pylist() for c in ("cluster", "cell", "j")))
             for this, *row in zip(keys, *(batch.column(c).to_pylist() for c in ("own", "v", "comp", "set"))):
                 if key is not None and this != key:
                     yield done()
@@ -329,7 +373,7 @@ def _cluster_links(members: DataFrame, percent: float) -> DataFrame:
         if frame:
             yield done()
 
-    dealt = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    dealt = cells.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell")
     return cut(dealt.mapInArrow(run, "a long, b long").distinct())
 
 
@@ -348,6 +392,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     exactly one row of a component is kept, of equal ids the one with the smallest number. An empty table gives an
     empty result.
     """
+    docs = spread(docs)
     row = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
     docs = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = cut(sketches(docs))
@@ -358,19 +403,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     keys = one.select("v", F.explode("bands").alias("bucket"))
     buckets = cut(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    members = cut(keys.join(buckets, "bucket").select("bucket", "v", "n"))
+    members = cut(keys.join(buckets, "bucket").select("bucket", "v"))
     limit = most_unequal(percent)
     marks = one.select("v", "n_shingles", "sig")
 
-    own = _apart(members.withColumn("comp", F.col("v")).join(marks, "v"), limit, percent, nearest=True)
-    rank = F.row_number().over(Window.partitionBy("v").orderBy("unequal", "w"))
-    first = cut(_ends(own.distinct().withColumn("rank", rank).filter("rank <= 2")))
+    first = cut(_ends(_to_ends(members, marks, limit, percent)))
     links = _confirm(first, _sets(docs, _named(first, one)), percent)
     comps = components(links)
 
     placed = members.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket")
-    apart = _apart(cut(placed.join(mixed, "bucket")).join(marks, "v"), limit, percent, nearest=False)
+    apart = _apart(cut(placed.join(mixed, "bucket")).join(marks, "v"), limit, percent)
     side = lambda x: placed.select(F.col("v").alias(x), F.col("comp").alias(f"comp_{x}")).distinct()
     near = cut(_ends(apart).join(side("a"), "a").join(side("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
     if not is_empty(near):
