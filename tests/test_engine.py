@@ -1,15 +1,17 @@
 """The loop on a graph of five vertices whose results are known, and its invariants."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from undertow.operators.graph import Graph
 from undertow.operators.schedule import MinDelta, Portion, TopK
-from undertow.plans import programs
+from undertow.operators import schedule
+from undertow.plans import engine, programs
 from undertow.plans.engine import Program, load_state, run, save_state
-from undertow.operators.accumulate import SUM
+from undertow.operators.accumulate import SUM, Accumulator
 
 EDGES = [(0, 1, 1.0), (0, 2, 4.0), (1, 2, 2.0), (2, 0, 1.0), (2, 3, 1.0), (3, 3, 5.0)]
 
@@ -102,3 +104,66 @@ def test_partition_count_does_not_matter(spark, tiny):
         assert values(programs.pagerank(tiny, rounds=2).final()) == [0.376, 0.312, 0.536, 0.728, 0.2]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_hot_sources_are_spread(spark, tiny, monkeypatch):
+    """Every source with more than one link is hot, so their links lie in several partitions."""
+    monkeypatch.setattr(engine, "HOT_DEGREE", 1)
+    assert values(programs.pagerank(tiny, rounds=2).final()) == [0.376, 0.312, 0.536, 0.728, 0.2]
+    monkeypatch.setattr(engine, "HOT_ROWS", 0)
+    assert values(programs.shortest_path(tiny, source=0).final()) == [0, 1, 3, 4, None]
+
+
+def test_min_message_is_for_sums_only(tiny):
+    with pytest.raises(ValueError):
+        programs.shortest_path(tiny, source=0, min_message=0.1)
+    # 0.08 is dropped wherever a vertex has two links
+    assert values(programs.pagerank(tiny, rounds=2, min_message=0.1).final()) == [0.2, 0.2, 0.36, 0.488, 0.2]
+
+
+def test_own_accumulator(tiny):
+    """The last digit decides which id is the largest."""
+    def larger(a, b):
+        return F.when((a % 4) * 10 + a >= (b % 4) * 10 + b, a).otherwise(b)
+
+    own = Accumulator.custom("last digit", larger, lambda m: F.max_by(m, (m % 4) * 10 + m))
+    k = F.col("k").cast("double")
+    done = run(tiny, Program(own, F.lit(None), k, F.lit(0.0)))
+    assert values(done.final()) == [2, 2, 2, 3, 4]
+
+
+def test_own_report_and_end(tiny):
+    seen = []
+
+    def until(before, now, rounds):
+        seen.append((before, now, rounds))
+        return now >= 4
+
+    done = programs.pagerank(tiny, report=F.count_if(F.col("value") > 0), until=until)
+    assert done.rounds == 1 and [x[1] for x in seen] == [0, 5]
+
+
+def test_trigger_sees_every_change(tiny):
+    done = programs.shortest_path(tiny, source=0, trigger=lambda k, value, new: F.when(k == 2, new + 100).otherwise(new))
+    # vertex 2 is reached at 4 (kept as 104) and then at 3, which the first value doesn't hold back
+    assert [r.value for r in done.state.orderBy("k").collect()] == [0, 1, 103, 4, None]
+
+
+def test_old_states_are_deleted(tiny, monkeypatch):
+    kept = []
+    monkeypatch.setattr(engine, "forget", kept.append)
+    done = programs.pagerank(tiny, rounds=4)
+    assert len({id(x) for x in kept if x is not None}) == 4 and all(x is not done.state for x in kept)
+
+
+@pytest.mark.parametrize("few", [0, 7, 10_000])
+def test_nth_largest(spark, monkeypatch, few):
+    monkeypatch.setattr(schedule, "FEW", few)
+    monkeypatch.setattr(schedule, "CUTS", 4)
+    rng = random.Random(few)
+    values = [float(rng.choice([1, 2, 2.5, rng.randrange(300)])) for _ in range(500)] + [float("inf"), float("-inf"), float("-inf")]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").coalesce(2)
+    order = sorted(values, reverse=True)
+    for place in (0, 1, 7, 250, 499, 502, 503):
+        assert schedule.nth_largest(df, "x", place) == (order[place] if place < 503 else None)
+    assert schedule.nth_largest(df.limit(0), "x", 0) is None

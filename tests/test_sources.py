@@ -66,7 +66,8 @@ def test_histogram(spark):
     rows = spark.createDataFrame([(0.0,), (1.0,), (1.05,), (50.0,)], "x double")
     got = {r.bucket: r.n for r in measures.log_histogram(rows, "x").collect()}
     assert sum(got.values()) == 4 and got[0] == 1
-    assert measures.merge_stats({"a": 1.0}, {"a": 2.0, "b": 1.0}) == {"a": 3.0, "b": 1.0}
+    stats = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 1.0)], "name string, value double")
+    assert {r.name: r.total for r in measures.merged_stats(stats).collect()} == {"a": 3.0, "b": 1.0}
 
 
 def test_parts_of_negative_keys(spark):

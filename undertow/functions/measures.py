@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,16 @@ def mod_part(k: Column, parts: int) -> Column:
     return F.pmod(k, F.lit(parts))
 
 
+def sharded(key: Column, parts: int, sharder: Callable[[Column, int], Column] | None = None) -> Column:
+    """The part that ``sharder`` deals a key to: by default its remainder, of numbers, or that of its hash, of ``hash_part``."""
+    return (sharder or mod_part)(key, parts)
+
+
+def hash_part(key: Column, parts: int) -> Column:
+    """The part of a key of any type, by its hash."""
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
 def part_sizes(vertices: DataFrame, parts: int) -> DataFrame:
     return vertices.groupBy(mod_part(F.col("k"), parts).alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -46,10 +58,6 @@ def edge_cut(edges: DataFrame, parts: int) -> DataFrame:
     )
 
 
-def merge_stats(*stats: dict[str, float]) -> dict[str, float]:
-    """Counters added up by name."""
-    out: dict[str, float] = {}
-    for s in stats:
-        for name, x in s.items():
-            out[name] = out.get(name, 0.0) + x
-    return out
+def merged_stats(stats: DataFrame) -> DataFrame:
+    """(name, total) of the counters (name, value) of any number of workers."""
+    return stats.groupBy("name").agg(F.sum("value").alias("total"))

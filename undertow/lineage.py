@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none and is one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = getattr(spark, "_undertow_shared", None)
     if own is None:
         own = spark._undertow_shared = "file://" + tempfile.mkdtemp(prefix="undertow-")
@@ -39,4 +41,13 @@ def cut(df: DataFrame, path: str | None = None) -> DataFrame:
         path = f"{shared_dir(spark)}/undertow/{uuid.uuid4().hex}"
         atexit.register(delete, spark, path)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._undertow_path = path
+    return out
+
+
+def forget(df: DataFrame | None) -> None:
+    """Deletes the files of a ``cut`` that nothing reads any more."""
+    path = getattr(df, "_undertow_path", None)
+    if path:
+        delete(df.sparkSession, path)

@@ -7,11 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from undertow.lineage import cut
+
 
 @dataclass(frozen=True)
 class Graph:
     vertices: DataFrame
     edges: DataFrame
+    given: DataFrame | None = None  # vertices before the ends of edges were added
+    closed: bool = False  # whether they were
+    files: bool = False
 
     @staticmethod
     def of(edges: DataFrame, vertices: DataFrame | None = None, weight: Column | None = None) -> Graph:
@@ -19,7 +24,14 @@ class Graph:
         if weight is None:
             weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
         edges = edges.select("src", "dst", weight.cast("double").alias("weight"))
-        return Graph(vertex_closure(edges, vertices), edges)
+        return Graph(vertex_closure(edges, vertices), edges, vertices, True)
+
+    def stored(self) -> Graph:
+        """The graph with its edges written once, and its vertices made from these."""
+        if self.files:
+            return self
+        edges = cut(self.edges)
+        return Graph(vertex_closure(edges, self.given) if self.closed else self.vertices, edges, self.given, self.closed, True)
 
     def symmetric(self) -> Graph:
         return Graph(self.vertices, symmetrize(self.edges))

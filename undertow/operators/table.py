@@ -29,6 +29,11 @@ def remove(table: DataFrame, keys: DataFrame) -> DataFrame:
     return table.join(keys.select("k"), "k", "left_anti")
 
 
+def clear(table: DataFrame) -> DataFrame:
+    """A table of the same columns without rows."""
+    return table.limit(0)
+
+
 def contains(table: DataFrame, keys: DataFrame) -> DataFrame:
     """``keys`` (k) with ``found``."""
     there = table.select("k", F.lit(True).alias("_hit")).distinct()

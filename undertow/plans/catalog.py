@@ -11,7 +11,7 @@ from undertow.functions import measures
 from undertow.lineage import cut, delete, shared_dir
 from undertow.operators import graph as g
 from undertow.operators import relabel, schedule, table
-from undertow.operators.accumulate import MAX, MIN, SUM
+from undertow.operators.accumulate import MAX, MIN, SUM, Accumulator
 from undertow.plans import programs
 from undertow.plans.engine import Program, progress
 from undertow.sources import adjacency, generate
@@ -75,14 +75,16 @@ def _values(result) -> DataFrame:
     return result.final().select("k", F.round("value", 6).alias("value"))
 
 
-def _sum_rounds(edges: str, start: str, coefficient: str, rounds: int, vertices: str) -> str:
-    """SQL for the sum of all changes of ``rounds`` rounds; the coefficient is of e and n, the out-degree."""
+def _sum_rounds(edges: str, start: str, coefficient: str, rounds: int, vertices: str, least: float = 0.0) -> str:
+    """SQL for the sum of all changes of ``rounds`` rounds; the coefficient is of e and n, the out-degree. Messages below
+    ``least`` are dropped."""
     return f"""with recursive e as ({edges}), n as (select src, count(*) as n, sum(weight) as total from e group by src),
   c as (select e.src, e.dst, {coefficient} as c from e join n on n.src = e.src),
   v as ({vertices}), d(k, delta, i) as (
     select k, {start}, 0 from v
     union all
-    select c.dst, sum(d.delta * c.c), d.i + 1 from d join c on c.src = d.k where d.i < {rounds} group by c.dst, d.i + 1)
+    select c.dst, sum(d.delta * c.c), d.i + 1 from d join c on c.src = d.k where d.i < {rounds}
+      and abs(d.delta * c.c) >= {least} group by c.dst, d.i + 1)
   select k, round(sum(delta), 6) as value from d group by k"""
 
 
@@ -340,10 +342,12 @@ def parse_adjacency(spark, sf_dir):
 
 @query(f"select src, dst, cast(weight as double) as weight from ({WHOLE}) e")
 def weighted_text_round_trip(spark, sf_dir):
-    path = f"{shared_dir(spark)}/undertow/lines-{abs(hash(sf_dir))}"
+    path = f"{shared_dir(spark)}/undertow/lines-{uuid.uuid4().hex}"
     lines = adjacency.adjacency_lines(_sql(spark, sf_dir, WHOLE), weighted=True, tag="source")
-    lines.select("line").write.mode("overwrite").text(path)
-    return adjacency.read_adjacency(spark, path, weighted=True, strict=True)[1]
+    lines.select("line").write.text(path)
+    out = cut(adjacency.read_adjacency(spark, path, weighted=True, strict=True)[1])
+    delete(spark, path)
+    return out
 
 
 @query(f"select k, k || chr(9) || cast(delta as bigint) || '|' || cast(value as bigint) as line from ({STATE}) s")
@@ -412,22 +416,12 @@ def top_k_result(spark, sf_dir):
     return programs.top_k(_values(programs.shortest_path(_parts(spark, sf_dir), source=0, rounds=12)), 20)
 
 
-NEW_ROWS = """select o_custkey as k, cast(o_orderkey as double) as value, cast(o_totalprice as double) as delta from {orders} where o_custkey < 900"""
-
-
-@query(f"""with s as ({STATE}), n as (select k, max_by(value, value) as value, max_by(delta, value) as delta from ({NEW_ROWS}) r group by k)
-  select k, value, delta from s where k not in (select k from n) union all select k, value, delta from n""")
-def table_put(spark, sf_dir):
-    return table.put(_sql(spark, sf_dir, STATE), _sql(spark, sf_dir, NEW_ROWS), F.col("value"))
-
-
 ALL_ROWS = "select o_custkey as k, cast(o_orderkey as double) as value, cast(o_totalprice as double) as delta from {orders}"
 
 
 @query(f"""with s as ({STATE}), n as (select k, max_by(value, value) as value, max_by(delta, value) as delta from ({ALL_ROWS}) r group by k)
   select k, value, delta from s where k not in (select k from n) union all select k, value, delta from n""")
-def table_put_all(spark, sf_dir):
-    """``table_put`` with every order."""
+def table_put(spark, sf_dir):
     return table.put(_sql(spark, sf_dir, STATE), _sql(spark, sf_dir, ALL_ROWS), F.col("value"))
 
 
@@ -481,26 +475,77 @@ def small_messages_dropped(spark, sf_dir):
     return sent.groupBy("k").agg(F.round(F.sum("m"), 6).alias("m"))
 
 
-@query()
+@query(_sum_rounds(PART_EDGES, "cast(0.2 as double)", "0.8 / n.n", 6, PARTS, 0.004))
+def pagerank_min_message_k6(spark, sf_dir):
+    return _values(programs.pagerank(_parts(spark, sf_dir), rounds=6, min_message=0.004))
+
+
+@query("select true as in_band")
 def sampled_threshold(spark, sf_dir):
-    t, inclusive = schedule.portion_threshold(_sql(spark, sf_dir, STATE).select(F.col("delta").alias("prio")), 0.1, exact=True, seed=11)
-    return spark.range(1).select(F.lit(float(t)).alias("threshold"), F.lit(inclusive).alias("inclusive"))
+    """A threshold from a sample of 1000 lies between those of the highest 5 and 15 in a hundred (five deviations)."""
+    rows = _sql(spark, sf_dir, STATE).select(F.col("delta").alias("prio"))
+    t, _ = schedule.portion_threshold(rows, 0.1, exact=True, seed=11)
+    high, low = (schedule.portion_threshold(rows, share, exact=True)[0] for share in (0.05, 0.15))
+    return spark.range(1).select((F.lit(float(low)) <= t) & (F.lit(float(t)) <= high)).toDF("in_band")
 
 
-@query(f"""with recursive e as ({USER_EDGES}), d(k, m) as (
-    select user_id, event_id from {{events}} where event_type = 'purchase' and user_id % 10 = 0
-    union
-    select e.dst, d.m from d join e on e.src = d.k)
-  select u.k, cast(max(d.m) as double) as value from ({USERS}) u left join d on d.k = u.k group by u.k""")
-def stream_equals_batch(spark, sf_dir):
-    """Purchases as a stream of changes, absorbed in several batches: the newest one that leads to each user."""
-    changes = _sql(spark, sf_dir, "select user_id as k, cast(event_id as double) as m from {events} where event_type = 'purchase' and user_id % 10 = 0")
-    return _streamed(spark, sf_dir, changes)
+@query(f"select k, floor(value) as value from ({SHORTEST}) t")
+def trigger_floors_values(spark, sf_dir):
+    """Shortest paths, with a trigger on every change that keeps whole values only; messages stay as they are."""
+    done = programs.shortest_path(_parts(spark, sf_dir), source=0, rounds=12, trigger=lambda k, value, new: F.floor(F.round(new, 6)))
+    return done.state.select("k", "value")
 
 
-@query()
-def stream_all_purchases(spark, sf_dir):
-    """``stream_equals_batch`` with every purchase; recursive SQL would list all pairs of a purchase and a user it leads to."""
+@query(f"select k, max(m) as value from (select e.dst as k, s.delta as m from ({STATE}) s join ({PART_EDGES}) e on e.src = s.k) t group by k")
+def combine_custom(spark, sf_dir):
+    """An accumulator that a caller defines: the largest message by size, here of messages that keep their sign."""
+    own = Accumulator.custom("largest", F.greatest, F.max)
+    sent = g.expand(_sql(spark, sf_dir, STATE), _sql(spark, sf_dir, PART_EDGES), F.col("delta"))
+    return sent.groupBy("k").agg(own.aggregate(F.col("m")).alias("value"))
+
+
+@query(f"""select p.k, count(*) over (partition by p.part) as n from (select p_partkey as k, length(p_name) % 4 as part from {{part}}) p""")
+def custom_sharder_sizes(spark, sf_dir):
+    parts = _sql(spark, sf_dir, "select p_partkey as k, p_name from {part}").withColumn("length", F.length("p_name"))
+    part = measures.sharded(F.col("length"), 4)
+    sizes = parts.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return parts.withColumn("part", part).join(sizes, "part").select("k", "n")
+
+
+@query(f"select k, value, delta from ({STATE}) s where false")
+def table_clear(spark, sf_dir):
+    return table.clear(_sql(spark, sf_dir, STATE))
+
+
+@query("""select event_type as name, cast(count(*) as double) as total from {events} group by 1""")
+def stats_merge(spark, sf_dir):
+    """Counters of every user, merged by name."""
+    own = _sql(spark, sf_dir, "select user_id as worker, event_type as name, cast(count(*) as double) as value from {events} group by 1, 2")
+    return measures.merged_stats(own)
+
+
+@query("select 2000 as vertices, 0 as self_links, 0 as repeated, true as degrees_in_bounds, true as same_again")
+def generated_graph_properties(spark, sf_dir):
+    edges = cut(generate.generate(spark, 2000, seed=7, partitions=4))
+    again = generate.generate(spark, 2000, seed=7, partitions=4)
+    told = edges.agg(
+        F.countDistinct("src").alias("sources"), F.count_if(F.col("src") == F.col("dst")).alias("self_links"),
+        (F.count(F.lit(1)) - F.countDistinct("src", "dst")).alias("repeated"),
+        (F.min(F.least("src", "dst")) >= 0).alias("low"), (F.max(F.greatest("src", "dst")) < 2000).alias("high"),
+    )
+    differ = edges.exceptAll(again).unionByName(again.exceptAll(edges)).agg((F.count(F.lit(1)) == 0).alias("same_again"))
+    return told.crossJoin(differ).select(
+        F.lit(2000).alias("vertices"), F.col("self_links").cast("int").alias("self_links"), F.col("repeated").cast("int").alias("repeated"),
+        (F.col("low") & F.col("high") & (F.col("sources") <= 2000)).alias("degrees_in_bounds"), "same_again",
+    )
+
+
+BOUGHT = "select user_id as k, max(case when event_type = 'purchase' then event_id end) as s from {events} group by user_id"
+
+
+@query(_best_rounds(USER_EDGES, "s", "max", "0.0", 40, BOUGHT))
+def stream_equals_batch(spark, sf_dir):
+    """Purchases as a stream of changes, absorbed in several batches: the newest one that leads to each user."""
     return _streamed(spark, sf_dir, _sql(spark, sf_dir, "select user_id as k, cast(event_id as double) as m from {events} where event_type = 'purchase'"))
 
 

@@ -4,10 +4,12 @@ Every vertex has a value and a pending change. A round takes the scheduled verti
 value, sends g(change) along their links, and combines what arrives with what is still pending. Because combining is
 associative and commutative and g distributes over it, rounds and schedules reach the same fixpoint.
 
-Per round there is one join of the sending vertices with the links, which stay partitioned by their source, and one
-aggregation over state and messages together: state rows and messages meet in a single shuffle by vertex, with messages
-combined on the map side. The new state is written to the shared folder, so plans don't grow and lost executors cost
-one round at most.
+Edges are written once; links are kept in memory partitioned by their source and come back from those files where an
+executor is lost. Links of a source with more than HOT_DEGREE of them are spread over several partitions, each of which
+gets the source's change. Per round there is one join of the sending vertices with the links and one aggregation over
+state and messages together: state rows and messages meet in a single shuffle by vertex, with messages combined on the
+map side. The new state is written to the shared folder, so plans don't grow and lost executors cost one round at most;
+the state before the last is deleted.
 """
 
 from __future__ import annotations
@@ -21,12 +23,16 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undertow.lineage import cut
+from undertow.lineage import cut, forget
 from undertow.operators.accumulate import Accumulator
 from undertow.operators.graph import Graph
 from undertow.operators.schedule import All
 
 
+HOT_DEGREE = 1_000_000
+HOT_ROWS = 200_000  # of 12 bytes, that are broadcast
+
+
 @dataclass(frozen=True)
 class Program:
     """``init_value`` and ``init_delta`` are expressions of k; ``coefficient`` of weight and degree, fixed per link.
@@ -87,6 +93,9 @@ def run(
     save_every: int = 0,
     metrics: bool = False,
     min_message: float = 0.0,
+    report: Column | None = None,
+    until: Callable[[float | None, float, int], bool] | None = None,
+    trigger: Callable[[Column, Column, Column], Column] | None = None,
 ) -> Result:
     """Runs ``program``: exactly ``rounds`` rounds (fewer if nothing is left to send), or until progress settles.
 
@@ -94,17 +103,19 @@ def run(
     ``eps`` between two rounds, however many rounds that takes; if ``max_rounds`` is given and the loop would need more,
     it raises instead of returning an unfinished state. ``start`` resumes from a state (see ``load_state``); ``save_every`` writes the state to
     ``save_to`` that often. Messages below ``min_message`` in size are dropped, which loses their mass; the default keeps
-    all (``MinDelta`` holds small changes back without loss). A value that isn't finite stops the loop with an error.
+    all (``MinDelta`` holds small changes back without loss), and only SUM can do without small messages: to MIN and MAX
+    they may be the ones that count, so there it is an error. A value that isn't finite stops the loop with an error.
+
+    Progress is ``report``, an aggregate over the state's k, value and delta, by default the sum of values. ``until``
+    decides from the progress before (None at first), the progress now and the rounds done whether that was enough, in
+    place of ``eps``. ``trigger`` sees every vertex whose value a round changes, as the columns k, value and new value,
+    and gives the value that it gets instead.
     """
     acc, schedule = program.accumulator, schedule or All()
-    degree = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    links = (
-        graph.edges.join(degree, "src")
-        .select("src", "dst", program.coefficient.cast("double").alias("coefficient"))
-        .repartition("src")
-        .sortWithinPartitions("src")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    if min_message and acc.idempotent:
+        raise ValueError("only a sum can do without small messages")
+    graph = graph.stored()
+    links, salts = _links(graph, program)
     if start is None:
         state = graph.vertices.select(
             "k", program.init_value.cast("double").alias("value"), program.init_delta.cast("double").alias("delta"),
@@ -113,7 +124,7 @@ def run(
     else:
         state = start.select("k", "value", "delta", "best_sent")
     state = cut(state)
-    told, last, done = [], None, done_rounds
+    told, last, done, older = [], None, done_rounds, None
     active = acc.active(F.col("delta"), F.col("best_sent") if acc.idempotent else None)
     watch = metrics or rounds is None
     try:
@@ -126,42 +137,73 @@ def run(
                     F.count(F.when(F.col("active"), True)).alias("n_active"),
                     F.count(F.when(chosen, True)).alias("n_sent"),
                     F.coalesce(F.sum(F.when(chosen, F.col("delta"))), F.lit(0.0)).alias("sent_delta"),
-                    progress(F.col("value"), acc).alias("progress"),
+                    (progress(F.col("value"), acc) if report is None else report).alias("progress"),
                 ).first()
                 if not math.isfinite(now.progress):
                     raise ArithmeticError(f"the values stopped being finite after {done} rounds")
                 if not now.n_active:
                     break
-                if rounds is None and eps is not None and last is not None and done > 1 and math.fabs(now.progress - last) <= eps:
+                if rounds is None and until is not None and until(last, now.progress, done):
+                    break
+                if rounds is None and until is None and eps is not None and last is not None and done > 1 and math.fabs(now.progress - last) <= eps:
                     break
                 if not now.n_sent:  # never stand still while something is active
                     chosen = F.col("active")
                 last = now.progress
             if rounds is None and max_rounds is not None and done >= max_rounds:
                 raise RuntimeError(f"not settled after max_rounds={max_rounds} rounds: {now.n_active} vertices are still active")
-            state = cut(_round(rows.withColumn("sent", chosen), links, program, min_message))
-            done += 1
+            before, state = state, cut(_round(rows.withColumn("sent", chosen), links, salts, program, min_message, trigger))
+            forget(older)
+            older, done = before, done + 1
             if watch:
                 told.append({"round": done, **now.asDict(), "seconds": time.monotonic() - began})
             if save_to and save_every and done % save_every == 0:
                 save_state(state, f"{save_to}/round={done}")
     finally:
         links.unpersist()
+        forget(older)
     return Result(state, acc, done, told)
 
 
-def _round(rows: DataFrame, links: DataFrame, program: Program, min_message: float = 0.0) -> DataFrame:
+def _links(graph: Graph, program: Program) -> tuple[DataFrame, DataFrame | None]:
+    """Links (src, salt, dst, coefficient) in memory by source, and the salts (hot, salts) of hot sources if there are any."""
+    spark = graph.edges.sparkSession
+    degree = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    degree = cut(degree)
+    salts, salt = F.ceil(F.col("degree") / HOT_DEGREE).cast("int"), F.lit(0)
+    hot = degree.filter(F.col("degree") > HOT_DEGREE).select(F.col("src").alias("hot"), salts.alias("salts"))
+    n_hot = hot.count()
+    if n_hot:
+        salt = F.pmod(F.xxhash64("dst"), salts).cast("int")
+    links = graph.edges.join(degree, "src").select("src", salt.alias("salt"), "dst", program.coefficient.cast("double").alias("coefficient"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number keeps them from being merged into few
+    links = links.repartition(n, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
+    if not n_hot:
+        return links, None
+    return links, F.broadcast(hot) if n_hot <= HOT_ROWS else hot
+
+
+def _round(
+    rows: DataFrame, links: DataFrame, salts: DataFrame | None, program: Program, min_message: float = 0.0,
+    trigger: Callable[[Column, Column, Column], Column] | None = None,
+) -> DataFrame:
     acc = program.accumulator
-    sending = rows.filter("sent").select("k", "delta")
-    messages = sending.join(links, sending.k == links.src).select(
+    sending = rows.filter("sent").select("k", "delta", F.lit(0).alias("part"))
+    if salts is not None:
+        every = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+        sending = sending.join(salts, F.col("k") == F.col("hot"), "left").select("k", "delta", F.explode(every).alias("part"))
+    messages = sending.join(links, (sending.k == links.src) & (sending.part == links.salt)).select(
         F.col("dst").alias("k"), program.send(F.col("delta"), F.col("coefficient")).alias("m")
     )
     if min_message:
         messages = messages.filter(F.abs("m") >= min_message)
     spent = F.col("sent") | ~F.col("active") if acc.idempotent else F.col("sent")
+    value = acc.combine(F.col("value"), F.col("delta"))
+    if trigger is not None:
+        value = F.when(value.eqNullSafe(F.col("value")), value).otherwise(trigger(F.col("k"), F.col("value"), value).cast("double"))
     kept = rows.select(
         "k",
-        F.when(F.col("sent"), acc.combine(F.col("value"), F.col("delta"))).otherwise(F.col("value")).alias("value"),
+        F.when(F.col("sent"), value).otherwise(F.col("value")).alias("value"),
         F.when(F.col("sent"), acc.combine(F.col("best_sent"), F.col("delta"))).otherwise(F.col("best_sent")).alias("best_sent"),
         F.when(spent, acc.identity).otherwise(F.col("delta")).alias("m"),
     )

@@ -30,6 +30,7 @@ def adsorption(graph: Graph, starts: int = 100, damping: float = 0.1, mass: floa
 def katz(graph: Graph, source=0, beta: float = 0.1, seed: float | None = None, double_seed: bool = False, **options) -> Result:
     """The Katz measure from ``source``; ``seed`` is the number of vertices by default, ``double_seed`` counts it twice."""
     if seed is None:
+        graph = graph.stored()
         seed = float(graph.vertices.count())
     start = F.when(F.col("k") == source, float(seed)).otherwise(0.0)
     return run(graph, Program(SUM, start if double_seed else F.lit(0.0), start, F.lit(beta)), **options)
