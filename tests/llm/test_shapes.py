@@ -47,6 +47,32 @@ def test_trees(spark):
         chat_format.tree_paths(spark.createDataFrame([("t", 1, 2), ("t", 2, 1)], "tree string, node long, parent long"))
 
 
+def test_trunk_with_many_leaves(spark):
+    """Ranking needs no path of a leaf that isn't chosen, and agrees with sums along every path."""
+    rng = random.Random(6)
+    rows = [("t", i, i - 1 if i else None, "user", f"m{i}", rng.random()) for i in range(200)]
+    rows += [("t", 1000 + i, rng.randrange(200), "assistant", f"leaf {i}", rng.random()) for i in range(400)]
+    by = {r[1]: r for r in rows}
+
+    def total(leaf):
+        path = [leaf]
+        while by[path[-1]][2] is not None:
+            path.append(by[path[-1]][2])
+        return sum(by[x][5] for x in path), path
+
+    inner = {r[2] for r in rows}
+    want = sorted(((total(i)[0], i) for i in by if i not in inner), key=lambda x: (-x[0], x[1]))[:3]
+    df = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
+    made, real = [], chat_format._paths
+    try:
+        chat_format._paths = lambda jumps, leaves: made.append(real(jumps, leaves)) or made[-1]
+        got = sorted(chat_format.format_trees(df, branches=3).collect(), key=lambda r: r.rank)
+    finally:
+        chat_format._paths = real
+    assert [r.leaf for r in got] == [i for _, i in want] and all(abs(r.score - t) < 1e-9 for r, (t, _) in zip(got, want))
+    assert made[0].count() == sum(len(total(i)[1]) for _, i in want) == sum(r.n_turns for r in got)
+
+
 def test_flat_conversations(spark):
     rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "system", None), (None, 1, None, "x"), (None, 0, "assistant", "###")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

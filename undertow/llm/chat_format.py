@@ -1,15 +1,17 @@
 r"""Chat formatting of reply trees.
 
-Messages form trees by parent. Iterative self-joins double the reach of every message's ancestor pointer, so all
-root-to-leaf paths are known after log2(depth) rounds; branches are ranked by the score summed along their path, and
-each chosen path is formatted as one conversation. Only DataFrame functions.
+Messages form trees by parent. Iterative self-joins double the reach of every message's ancestor pointer and add up the
+scores it passes, so after log2(depth) rounds every leaf has the score of its path and branches are ranked. Then the
+pointers, from the shortest on, enumerate the root-to-leaf paths that were chosen, and each is formatted as one
+conversation. Only DataFrame functions.
 
 The template writes a turn as ``### role: text</turn>`` and a line feed. Inside roles and texts a backslash becomes
 ``\\``, ``###`` becomes ``\h``, ``</turn>`` becomes ``\e`` and, in roles, ``:`` becomes ``\c``; ``unescape`` and
 ``parse`` undo this exactly.
 
-At scale: paths are carried as (tree, leaf, message, distance) rows without texts, every join is on (tree, message)
-and so spread over a tree's messages, and each round is written to the shared folder. Texts move once, to their path.
+At scale: a round has one row per message, whatever the number of leaves below it, and only chosen paths are listed, as
+(tree, leaf, message, distance) rows without texts. Every join is on (tree, message) and so spread over a tree's messages,
+and each round is written to the shared folder. Texts move once, to their path.
 """
 
 from __future__ import annotations
@@ -42,31 +44,46 @@ def unescape(text: Column, role: bool = False) -> Column:
     return F.array_join(F.transform(F.split(text, r"\\\\"), part), "\\")
 
 
+def _jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Pointers (tree, node, above) of reach 1, 2, 4, ..., and (tree, leaf, score), scores summed up to the root."""
+    links = messages.select("tree", "node", "parent", "score")
+    known = links.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
+    now = cut(links.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("above"), "score"))
+    jumps, reach, limit = [], 1, None
+    while not is_empty(now.filter("above IS NOT NULL").select("node")):
+        if limit is None:
+            limit = 2 * now.count()
+        if reach > limit:
+            raise ValueError("a message is its own ancestor")
+        far = now.select("tree", F.col("node").alias("above"), F.col("above").alias("next"), F.col("score").alias("more"))
+        step = now.filter("above IS NOT NULL").join(far, ["tree", "above"])
+        jumps.append(now.filter("above IS NOT NULL").select("tree", "node", "above"))
+        now = cut(
+            step.select("tree", "node", F.col("next").alias("above"), (F.col("score") + F.col("more")).alias("score"))
+            .unionByName(now.filter("above IS NULL"))
+        )
+        reach *= 2
+    inner = links.select("tree", F.col("parent").alias("node")).filter("node IS NOT NULL").distinct()
+    return jumps, now.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "score")
+
+
+def _paths(jumps: list[DataFrame], leaves: DataFrame) -> DataFrame:
+    """The paths (tree, leaf, node, up) of ``leaves`` (tree, leaf)."""
+    paths = cut(leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up")))
+    for k, jump in enumerate(jumps):
+        more = paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        paths = cut(paths.unionByName(more))
+    return paths
+
+
 def tree_paths(messages: DataFrame) -> DataFrame:
     """All root-to-leaf paths: (tree, leaf, node, up), ``up`` counting from 0 at the leaf.
 
     ``messages`` has tree, node and parent (null: a root), node being unique within its tree. A message whose parent
     isn't there is a root. Messages on a cycle have no leaf that they end in a root, and an error says so.
     """
-    links = messages.select("tree", "node", "parent")
-    parents = links.select("tree", F.col("parent").alias("node")).filter("node IS NOT NULL").distinct()
-    leaves = links.join(parents, ["tree", "node"], "left_anti")
-    known = links.select("tree", F.col("node").alias("parent"))
-    jump = cut(links.join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("above")))
-    paths = cut(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
-    reach, limit = 1, 2 * max(1, messages.count())
-    while not is_empty(jump):
-        if reach > limit:
-            raise ValueError("a message is its own ancestor")
-        step = jump.select("tree", "node", "above")
-        more = paths.join(step, ["tree", "node"]).select(
-            "tree", "leaf", F.col("above").alias("node"), (F.col("up") + reach).alias("up")
-        )
-        paths = cut(paths.unionByName(more))
-        far = jump.select("tree", F.col("node").alias("above"), F.col("above").alias("next"))
-        jump = cut(jump.join(far, ["tree", "above"]).select("tree", "node", F.col("next").alias("above")))
-        reach *= 2
-    return paths
+    jumps, leaves = _jumps(messages.select("tree", "node", "parent", F.lit(0.0).alias("score")))
+    return _paths(jumps, leaves)
 
 
 def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -77,19 +94,17 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     score go to the smaller leaf. Null roles and texts are empty, null scores 0; tree and node are never null, and node
     is unique within its tree (see ``conversations`` for flat rows with any ids). No messages give no rows.
     """
-    paths = tree_paths(messages)
     said = messages.select(
         "tree", "node",
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce("score", F.lit(0.0)).cast("double").alias("score"),
     )
-    scores = paths.join(said.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
+    jumps, scores = _jumps(messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
     best = cut(scores.withColumn("rank", rank).filter(F.col("rank") <= branches))
     turns = (
-        paths.join(best, ["tree", "leaf"])
-        .join(said.drop("score"), ["tree", "node"])
+        _paths(jumps, best).join(best, ["tree", "leaf"])
+        .join(said, ["tree", "node"])
         .withColumn("body", escape(F.col("text")))
         .withColumn("head", F.concat(F.lit(HEAD), escape(F.col("role"), role=True), F.lit(COLON)))
         .groupBy("tree", "leaf", "rank", "score")
