@@ -28,6 +28,16 @@ def test_escape_round_trip(spark):
     assert df.filter((chat_format.unescape(role, role=True) != F.col("t")) | role.contains(":")).count() == 0
 
 
+def test_mix_of_one_hot_row(spark):
+    """A row repeated so often that one id holds most of its source is taken in part, to within half of it."""
+    rows = [(1, "a b", "s")] * 9000 + [(None, "c", "s")] * 3000 + [(i, "d e f", "t") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df, weights=(1, 5)).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r.source_size: (r.n, r.target) for r in got} == {21_000: (12_000, 9000.0), 6000: (2000, 18_000.0)}
+    for r in got:
+        assert abs(r.taken - r.target) <= 2, r
+
+
 def test_trees(spark):
     rows = [("t", 1, None, "user", "q", 1.0), ("t", 2, 1, "assistant", "good", 5.0), ("t", 3, 1, "assistant", "bad", 1.0), ("t", 4, 3, "user", None, 1.0),
             ("t", 5, 2, "user", "thanks", None), ("u", 1, None, None, "### x", 0.0), ("u", 9, 77, "assistant", "orphan", 3.0)]

@@ -7,7 +7,7 @@ seeded order once more, up to the remaining fraction.
 
 At scale: one pass reads texts and writes (id, source, size) rows to the shared folder. The seeded order is never
 sorted: sizes are summed per source and slice of the 64-bit order, only the one slice that holds a source's
-boundary is cut finer, and the last slice is small enough to be ranked. Only the table of sources, one row each,
+boundary is cut finer, by the order's bits and then by those of a row number, until it is small enough to be ranked. Only the table of sources, one row each,
 is joined to the rows. The clamping loop collects one row of sums a time.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from undertow.llm.common import cut, read, word_count
 
 SEED, MAX_EPOCHS, BITS = 20_231, 3, 10
+LEVELS = -(-63 // BITS)
 
 
 def water_fill(sources: DataFrame, total: float, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -60,7 +61,8 @@ def _boundary(rows: DataFrame, shares: DataFrame, small: int = 4096) -> DataFram
     level = 0
     while True:
         used = BITS * (level + 1)
-        sliced = inside.withColumn("slice", F.shiftright("order", max(0, 63 - used)).bitwiseAND(2**BITS - 1))
+        name, shift = ("order", 63 - used) if used < 63 + BITS else ("row", 63 - used + LEVELS * BITS)
+        sliced = inside.withColumn("slice", F.shiftright(name, max(0, shift)).bitwiseAND(2**BITS - 1))
         sums = sliced.groupBy("source", "left", "slice").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("c"))
         before = F.sum("s").over(Window.partitionBy("source").orderBy("slice")) - F.col("s")
         at = cut(
@@ -77,7 +79,7 @@ def _boundary(rows: DataFrame, shares: DataFrame, small: int = 4096) -> DataFram
             .select("source", "order", "id", "size", "row", "left")
         )
         level += 1
-        if used >= 63 or (at.agg(F.max("c")).first()[0] or 0) <= small:
+        if level == 2 * LEVELS or (at.agg(F.max("c")).first()[0] or 0) <= small:
             break
         inside = cut(inside)
     upto = F.sum("size").over(
@@ -105,14 +107,14 @@ def mix(
 
     ``size`` counts words (null text: 0). Sources in code-point order, null last and a source of its own, get
     ``weights`` in turn and share the words of all rows. ``repeats`` is how often the mix holds the row, ``taken``
-    its words in the mix. The order is a hash of ``seed`` and the id, so runs agree and rows with the same id and
-    size stay or go together only by their place; a source's taken words differ from its target by half a document
+    its words in the mix. The order is a hash of ``seed`` and the id, so runs agree; of rows with the same id and
+    size, which run alike, some may go by a row number. A source's taken words differ from its target by half a document
     at most. Null ids hash like any other value. ``row_col`` may name a column of distinct numbers: the result then
-    begins with it, and rows with the same id and size have their places by it. An empty table gives an empty result.
+    begins with it and it is that row number. An empty table gives an empty result.
     """
     rows = cut(
         docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-                    (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
+                    (F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()).alias("row"))
         .withColumn("order", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 1))
     )
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # over one row per source
