@@ -14,17 +14,24 @@ from pyspark.sql import functions as F
 from undertow.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from undertow.llm.common import cut
 
-ROW = "__v_row"
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for every row, written, so that all who read it see the same numbers."""
-    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for every row, written, so that all who read it see the same numbers; its name."""
+    row = _free(docs, "row_number")
+    return cut(docs.withColumn(row, F.monotonically_increasing_id())), row
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+
+def _kept(docs: DataFrame, row: str, verdicts: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose number has ``kept`` in ``verdicts``."""
-    return docs.join(verdicts.filter("kept").select(ROW), ROW, "left_semi").drop(ROW)
+    return docs.join(verdicts.filter("kept").select(row), row, "left_semi").drop(row)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,22 +41,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
-    docs = _numbered(docs)
-    return _kept(docs, exact_dedup.exact_dedup(docs, row_col=ROW))
+    docs, row = _numbered(docs)
+    return _kept(docs, row, exact_dedup.exact_dedup(docs, row_col=row))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id of each group of near duplicates; texts without words are in no group."""
-    docs = _numbered(docs)
-    return _kept(docs, near_dedup.near_groups(docs, row_col=ROW))
+    docs, row = _numbered(docs)
+    return _kept(docs, row, near_dedup.near_groups(docs, row_col=row))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix of sources takes it; those it takes no time go."""
-    columns, docs = docs.columns, _numbered(docs)
-    taken = mixing.mix(docs, row_col=ROW).filter("repeats > 0").select(ROW, F.col("repeats").alias("__v_repeats"))
-    out = docs.join(taken, ROW)
-    return out.withColumn("__v_repeat", F.explode(F.sequence(F.lit(1), F.col("__v_repeats").cast("int")))).select(*columns)
+    columns, (docs, row) = docs.columns, _numbered(docs)
+    taken = mixing.mix(docs, row_col=row).filter("repeats > 0").select(row, F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("time"))
+    return docs.join(taken.select(row), row).select(*columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
