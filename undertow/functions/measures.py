@@ -26,34 +26,38 @@ def log_histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(log_bucket(F.col(column)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def histogram_summary(buckets: DataFrame) -> DataFrame:
+    """(line) per bucket: its least value and its count, for people to read."""
+    value = F.format_string("%.6g", bucket_value(F.col("bucket")))
+    return buckets.select(F.concat(value, F.lit(": "), F.col("n").cast("string")).alias("line"))
+
+
 def mod_part(k: Column, parts: int) -> Column:
     """The part 0..parts-1 that a vertex is dealt to, for negative keys too."""
     return F.pmod(k, F.lit(parts))
 
 
-def sharded(key: Column, parts: int, sharder: Callable[[Column, int], Column] | None = None) -> Column:
-    """The part that ``sharder`` deals a key to: by default its remainder, of numbers, or that of its hash, of ``hash_part``."""
-    return (sharder or mod_part)(key, parts)
+def hash_part(k: Column, parts: int) -> Column:
+    """The part of a key of any type, by its hash."""
+    return F.pmod(F.xxhash64(k), F.lit(parts)).cast("int")
 
 
-def hash_part(key: Column, parts: int) -> Column:
-    """The part of a key of any type, by its hash."""
-    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+Sharder = Callable[[Column, int], Column]
 
 
-def part_sizes(vertices: DataFrame, parts: int) -> DataFrame:
-    return vertices.groupBy(mod_part(F.col("k"), parts).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+def part_sizes(vertices: DataFrame, parts: int, sharder: Sharder = mod_part) -> DataFrame:
+    return vertices.groupBy(sharder(F.col("k"), parts).alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def self_link_count(edges: DataFrame, parts: int) -> DataFrame:
+def self_link_count(edges: DataFrame, parts: int, sharder: Sharder = mod_part) -> DataFrame:
     """(k, n): links of each vertex that stay in its part."""
-    own = mod_part(F.col("src"), parts) == mod_part(F.col("dst"), parts)
+    own = sharder(F.col("src"), parts) == sharder(F.col("dst"), parts)
     return edges.groupBy(F.col("src").alias("k")).agg(F.count_if(own).alias("n"))
 
 
-def edge_cut(edges: DataFrame, parts: int) -> DataFrame:
+def edge_cut(edges: DataFrame, parts: int, sharder: Sharder = mod_part) -> DataFrame:
     """(src_part, dst_part, n): links between parts."""
-    return edges.groupBy(mod_part(F.col("src"), parts).alias("src_part"), mod_part(F.col("dst"), parts).alias("dst_part")).agg(
+    return edges.groupBy(sharder(F.col("src"), parts).alias("src_part"), sharder(F.col("dst"), parts).alias("dst_part")).agg(
         F.count(F.lit(1)).alias("n")
     )
 

@@ -12,7 +12,7 @@ from undertow.lineage import cut, delete, shared_dir
 from undertow.operators import graph as g
 from undertow.operators import relabel, schedule, table
 from undertow.operators.accumulate import MAX, MIN, SUM, Accumulator
-from undertow.plans import programs
+from undertow.plans import experiments, programs
 from undertow.plans.engine import Program, progress
 from undertow.sources import adjacency, generate
 from undertow.streaming import incremental
@@ -504,12 +504,23 @@ def combine_custom(spark, sf_dir):
     return sent.groupBy("k").agg(own.aggregate(F.col("m")).alias("value"))
 
 
-@query(f"""select p.k, count(*) over (partition by p.part) as n from (select p_partkey as k, length(p_name) % 4 as part from {{part}}) p""")
-def custom_sharder_sizes(spark, sf_dir):
-    parts = _sql(spark, sf_dir, "select p_partkey as k, p_name from {part}").withColumn("length", F.length("p_name"))
-    part = measures.sharded(F.col("length"), 4)
-    sizes = parts.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    return parts.withColumn("part", part).join(sizes, "part").select("k", "n")
+@query(f"select (src // 100) % 4 as src_part, (dst // 100) % 4 as dst_part, count(*) as n from ({PART_EDGES}) e group by 1, 2")
+def edge_cut_by_own_sharder(spark, sf_dir):
+    """Links between parts that a caller's sharder deals a hundred keys at a time."""
+    def hundreds(k, parts):
+        return F.pmod(F.floor(k / 100), F.lit(parts))
+
+    return measures.edge_cut(_sql(spark, sf_dir, PART_EDGES), 4, hundreds)
+
+
+@query("""select program, portion, (select count(*) from {part}) as vertices, true as settled
+  from (select unnest(['shortest_path', 'max_value']) as program) p, (select unnest([1.0, 0.5]) as portion) s""")
+def experiment_grid(spark, sf_dir):
+    """Runs of two programs with two portions on the part graph, each to its end."""
+    options = {"shortest_path": {"source": 0}, "max_value": {}}
+    rows = experiments.grid(spark, options, [lambda name: _parts(spark, sf_dir)], (1.0, 0.5), options)
+    timed = (F.col("load") > 0) & (F.col("iterate") > 0) & (F.col("dump") > 0)
+    return rows.select("program", "portion", "vertices", ((F.col("rounds") > 1) & timed).alias("settled"))
 
 
 @query(f"select k, value, delta from ({STATE}) s where false")
