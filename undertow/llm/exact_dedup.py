@@ -6,9 +6,10 @@ widen from round to round, so the number of rounds is logarithmic in the longest
 the bytes themselves, not on a digest, and a group is named by the number of one of its rows.
 
 At scale: the first round moves no text, only the first FIRST_DIGIT bytes, to the partial aggregation of its groups.
-Groups of several rows that have more bytes set a bit each in a bitmap of FILTER_BITS bits (8 MB at most, broadcast);
-a text whose bit isn't set is alone and done without a shuffle, so only texts that look repeated move on. A false
-positive costs that text another round and nothing else; with far more than FILTER_BITS groups all texts move once.
+Groups of several rows that have more bytes set a bit each in a bitmap, broadcast, of 16 to 32 bits per group, but 2**20
+at least and FILTER_BITS (8 MB) at most. A text whose bit isn't set is alone and done without a shuffle, so only texts
+that look repeated move on. A false positive costs that text another round and nothing else; with far more groups than
+FILTER_BITS all texts move once.
 Later rounds are one aggregation (a hot group shrinks to one row per map task before the shuffle) and one sort-merge
 join back to the rows (AQE splits the partition of a hot group on the row side), which carries the bytes not compared
 yet. Every round ends in files of the shared folder.
@@ -48,18 +49,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = cut(rows.select(F.monotonically_increasing_id().alias("n_row"), "id", "row", "points", "len", "digit", sha))
     groups = _groups(first, ["len", "digit"])
     longer = F.col("len") > FIRST_DIGIT
-    bits = cut(_bitmap(groups.filter(F.col("g_len") > FIRST_DIGIT)))
+    open_groups = groups.filter(F.col("g_len") > FIRST_DIGIT)
+    n_open = open_groups.count()
+    size = min(FILTER_BITS, max(1 << 20, 1 << (16 * n_open).bit_length()))
+    bits = cut(_bitmap(open_groups, size))
     done = [
         _settled(_joined(first.filter(~longer), groups, ["len", "digit"])),
-        _alone(_marked(first.filter(longer), bits).filter(~F.col("marked"))),
+        _alone(_marked(first.filter(longer), bits, size).filter(~F.col("marked"))),
     ]
     at, width = FIRST_DIGIT, FIRST_DIGIT * WIDEN
     rest = F.substring("bytes", at + width + 1, 2_147_483_647)
-    rows = _marked(rows.filter(longer), bits).filter("marked").select(
+    rows = _marked(rows.filter(longer), bits, size).filter("marked").select(
         F.monotonically_increasing_id().alias("n_row"), "id", "row", "points", "len", sha,
         F.col("len").cast("long").alias("gid"), F.substring("bytes", 1, at + width).alias("digit"), rest.alias("rest"),
     )
-    while not is_empty(bits):
+    while n_open:
         at = at + width
         rows = cut(rows)
         step = cut(_joined(rows, _groups(rows, ["gid", "digit"]), ["gid", "digit"]))
@@ -113,20 +117,20 @@ def _alone(rows: DataFrame) -> DataFrame:
     return rows.select("id", "row", "sha", F.col("id").alias("keep"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("n"))
 
 
-def _bit(length: Column, digit: Column) -> Column:
-    return F.pmod(F.xxhash64(length, digit), F.lit(FILTER_BITS))
+def _bit(length: Column, digit: Column, size: int) -> Column:
+    return F.pmod(F.xxhash64(length, digit), F.lit(size))
 
 
-def _bitmap(groups: DataFrame) -> DataFrame:
-    """(part, bits): the bits of ``groups``, in at most FILTER_BITS / 32768 values of 4 KB."""
-    bit = _bit(F.col("g_len"), F.col("g_digit"))
+def _bitmap(groups: DataFrame, size: int) -> DataFrame:
+    """(part, bits): the bits of ``groups``, in at most ``size`` / 32768 values of 4 KB."""
+    bit = _bit(F.col("g_len"), F.col("g_digit"), size)
     at = groups.select(F.floor(bit / _WORD_BITS).alias("part"), (bit % _WORD_BITS).alias("place"))
     return at.groupBy("part").agg(F.bitmap_construct_agg("place").alias("bits"))
 
 
-def _marked(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
+def _marked(rows: DataFrame, bitmap: DataFrame, size: int) -> DataFrame:
     """``rows`` with ``marked``: whether the bit of their length and first digit is set."""
-    bit = _bit(F.col("len"), F.col("digit"))
+    bit = _bit(F.col("len"), F.col("digit"), size)
     place = (bit % _WORD_BITS).cast("int")
     byte = F.conv(F.hex(F.expr("substring(bits, int(place DIV 8) + 1, 1)")), 16, 10).cast("int")
     marked = byte.bitwiseAND(F.expr("shiftleft(1, place % 8)")) != 0
