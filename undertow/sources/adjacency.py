@@ -55,7 +55,10 @@ def _number(x: Column) -> Column:
 
 
 def adjacency_lines(edges: DataFrame, vertices: DataFrame | None = None, weighted: bool = False, tag: str | None = None, source=0) -> DataFrame:
-    """(k, line): the links of each vertex by target. ``tag`` "plain" or "source" gives the two secondary formats."""
+    """(k, line): the links of each vertex by target. ``tag`` "plain" or "source" gives the two secondary formats.
+
+    A line per vertex is what the format asks for, so a vertex's links, and its line, have to fit into one task.
+    """
     link = F.concat_ws(",", F.col("dst").cast("string"), _number(F.col("weight"))) if weighted else F.col("dst").cast("string")
     pair = F.struct("dst", *(["weight"] if weighted else []), link.alias("link"))
     lines = edges.groupBy(F.col("src").alias("k")).agg(F.sort_array(F.collect_list(pair)).alias("links"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from undertow.lineage import delete, forget
 from undertow.operators.graph import Graph
 from undertow.plans.engine import Program, load_state, run, save_state
 
@@ -26,9 +27,9 @@ def follow(changes: DataFrame, graph: Graph, program: Program, path: str, checkp
     """Starts a query that absorbs each micro-batch of ``changes`` and writes the new state under ``path``.
 
     Batch ``i`` reads the state of batch ``i - 1`` and writes ``path/batch=i``, so a batch that is run again after a
-    failure gives the same state.
+    failure gives the same state; the state of batch ``i - 2`` is then deleted.
     """
-    spark = graph.vertices.sparkSession
+    spark, graph = graph.vertices.sparkSession, graph.stored()
 
     def batch(rows: DataFrame, number: int) -> None:
         if number == 0:
@@ -38,6 +39,9 @@ def follow(changes: DataFrame, graph: Graph, program: Program, path: str, checkp
             state = load_state(spark, f"{path}/batch={number - 1}")
         done = run(graph, program, start=absorb(state, rows, program), **options)
         save_state(done.state, f"{path}/batch={number}")
+        forget(done.state)
+        if number > 1:
+            delete(spark, f"{path}/batch={number - 2}")
 
     writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
