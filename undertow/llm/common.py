@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.lineage import cut, shared_dir
+from undertow.lineage import cut, forget, shared_dir
 
-__all__ = ["WORD", "WS", "code_points", "cut", "is_empty", "read", "shared_dir", "spread", "utf8", "word_count"]
+__all__ = ["WORD", "WS", "code_points", "cut", "forget", "is_empty", "read", "shared_dir", "spread", "utf8", "word_count"]
 
 #: The ASCII white space that separates words in every contract here.
 WS = " \t\n\x0b\x0c\r"

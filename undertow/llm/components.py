@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import cut, is_empty
+from undertow.llm.common import cut, forget, is_empty
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,22 +20,27 @@ def components(links: DataFrame) -> DataFrame:
     Links are undirected; repeated links and links to oneself change nothing, and no links give no rows.
     """
     links = cut(links.select("a", "b").filter("a <> b").distinct())
-    maps = []
+    maps, used = [], [links]
     while not is_empty(links):
         both = links.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("u")))
         near = cut(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("to")))
         ahead = near.select(F.col("v").alias("to"), F.col("to").alias("next"))
         to = cut(near.join(ahead, "to").select("v", F.col("next").alias("to")))
         maps.append(to)
+        used += [near, to]
         a, b = (to.select(F.col("v").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab")
         links = cut(
             links.join(a, "a").join(b, "b").filter("to_a <> to_b")
             .select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
         )
+        used.append(links)
     if not maps:
         return links.select(F.col("a").alias("v"), F.col("b").alias("comp"))
     out = maps[0].withColumnRenamed("to", "comp")
     for later in maps[1:]:
         step = later.select(F.col("v").alias("comp"), F.col("to").alias("next"))
         out = out.join(step, "comp", "left").select("v", F.coalesce("next", "comp").alias("comp"))
-    return cut(out)
+    out = cut(out)
+    for scratch in used:
+        forget(scratch)
+    return out

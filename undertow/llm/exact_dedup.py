@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm.common import WS, code_points, cut, is_empty, read, utf8
+from undertow.llm.common import WS, code_points, cut, forget, is_empty, read, utf8
 
 FIRST_DIGIT, WIDEN = 64, 16
 FILTER_BITS = 1 << 26
@@ -67,6 +67,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         at = at + width
         rows = cut(rows)
         step = cut(_joined(rows, _groups(rows, ["gid", "digit"]), ["gid", "digit"]))
+        forget(rows)
         open_ = F.col("n").isNotNull() & (F.col("len") > at)
         done.append(_settled(step.filter(~open_)))
         rows, width = step.filter(open_), min(width * WIDEN, 1 << 30)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from undertow.llm.common import cut, is_empty, read, spread
+from undertow.llm.common import cut, forget, is_empty, read, spread
 from undertow.llm.components import components
 from undertow.llm.wordbpe import Memo
 
@@ -408,7 +408,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = one.select("v", "n_shingles", "sig")
 
     first = cut(_ends(_to_ends(members, marks, limit, percent)))
-    links = _confirm(first, _sets(docs, _named(first, one)), percent)
+    sets = _sets(docs, _named(first, one))
+    links = _confirm(first, sets, percent)
+    forget(sets)
     comps = components(links)
 
     placed = members.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
@@ -422,6 +424,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         wanted = one.select("v", "id", "fp").join(inside.select("v"), "v", "left_semi")
         sets = _sets(docs, wanted)
         more = _cluster_links(inside.join(one.select("v", "n_shingles"), "v").join(sets, "v"), percent)
+        forget(sets)
         if not is_empty(more):
             comps = components(links.unionByName(more))
 
@@ -430,6 +433,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows.select("row", "id", "n_shingles", "fp").join(of, F.col("fp") == F.col("c_fp"), "left")
         .select("row", "id", "n_shingles", F.coalesce("comp", "row").alias("comp"))
     )
+    for scratch in (rows, one, members, classes):
+        forget(scratch)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     least = cut(placed.groupBy("comp").agg(first.alias("first")).select("comp", F.col("first.id").alias("component_id"), F.col("first.row").alias("keep_row")))
     kept = F.col("row") == F.col("keep_row") if row_col else F.col("id").eqNullSafe(F.col("component_id"))
