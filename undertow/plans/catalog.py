@@ -513,7 +513,7 @@ def edge_cut_by_own_sharder(spark, sf_dir):
     return measures.edge_cut(_sql(spark, sf_dir, PART_EDGES), 4, hundreds)
 
 
-@query("""select program, portion, (select count(*) from {part}) as vertices, true as settled
+@query("""select program, cast(portion as double) as portion, (select count(*) from {part}) as vertices, true as settled
   from (select unnest(['shortest_path', 'max_value']) as program) p, (select unnest([1.0, 0.5]) as portion) s""")
 def experiment_grid(spark, sf_dir):
     """Runs of two programs with two portions on the part graph, each to its end."""
