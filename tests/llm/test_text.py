@@ -93,6 +93,34 @@ def test_quality(spark):
     assert quality_rules.quality_rules(docs.limit(0)).collect() == []
 
 
+def test_quality_takes_the_lines_out(spark, monkeypatch):
+    rows = []
+    for i in range(60):
+        own = " ".join(chr(97 + i % 26) + chr(97 + i // 26) + chr(97 + j % 26) + chr(97 + j // 26) for j in range(60))
+        menu = "\n".join(["Home | About  us", "", f"READ more {i:02d}"] * (1 + i % 40))
+        rows.append((i, None if i < 30 else "h", menu + "\n" + own + "\nhome | about us" + "\n" * (i % 3)))
+    rows += [(60, "h", None), (61, "h", ""), (62, "rare", rows[3][2]), (63, None, rows[5][2])]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    texts = {}
+    for most in (quality_rules.BROADCAST_LINES, -1):  # lines broadcast; texts moved to the lines found in them
+        monkeypatch.setattr(quality_rules, "BROADCAST_LINES", most)
+        for r in quality_rules.quality_rules(docs).collect():
+            i, host, text = rows[r.doc_id]
+            common = re.compile(r"(home \| about us|read more [0-9]+)")
+            flagged = lambda x: host != "rare" and common.fullmatch(" ".join(words(x)).lower())
+            left = text and "\n".join(x for x in text.split("\n") if not flagged(x))
+            assert r.text_left == left, i
+            assert r.words_removed == len(words(text)) - len(words(left)), i
+            assert r.kept == (not r.base_failed and len(words(left)) * 100 >= len(words(text)) * 30), i
+            texts.setdefault(i, set()).add((r.text_left, r.words_removed, r.kept))
+    assert all(len(x) == 1 for x in texts.values()) and len(texts) == len(rows)
+    # depletion alone rejects here: the base rules' verdict differs from kept for some row
+    only = quality_rules.quality_rules(docs.filter("doc_id < 60"), min_left_percent=70).collect()
+    assert any(not r.base_failed and not r.kept for r in only) and any(r.kept for r in only)
+    clean = {r.doc_id: r.text for r in quality_rules.remove_common_lines(docs).collect()}
+    assert {(i, x) for i, v in texts.items() for x, _, _ in v} == set(clean.items())
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     plain = [f"word{i}" for i in range(400)]

@@ -2,12 +2,12 @@
 
 Only DataFrame functions. Lines are normalised (trimmed, lower case, inner white space as one space, digits as 0) and
 hashed; per host the distinct documents of each line are counted, where copies of one text count as one document.
-Lines above both limits, a count and a share of the host's distinct texts, are removed, and documents that lose too
-large a share of their words with them are depleted and rejected.
+Lines above both limits, a count and a share of the host's distinct texts, are taken out of the texts, and documents
+that have too small a share of their words left are depleted and rejected.
 
-At scale: lines are reduced to (host, text digest, line hash, words) rows, and every count is partially aggregated, so
-a line in every document of a hot host leaves one row per map task. The verdict is settled per distinct text, so
-copies cost nothing. Texts themselves never move.
+At scale: lines are reduced to (host, text digest, line hash) rows, and every count is partially aggregated, so a line
+in every document of a hot host leaves one row per map task. Boilerplate lines are broadcast to the texts, which stay
+where they are; only where the lines are too many do texts move, once, to the lines found in them.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm.common import WORD, WS, cut, read
+from undertow.llm.common import WORD, WS, cut, read, word_count
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -23,6 +23,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 LINE_DOCS, LINE_PERCENT = 20, 1
 #: A document is depleted when less than this percentage of its words is outside boilerplate lines.
 MIN_LEFT_PERCENT = 30
+#: Boilerplate lines are broadcast up to this many in all and of one host; results don't depend on it.
+BROADCAST_LINES, HOST_LINES = 200_000, 4096
 
 
 def let(value: Column, f) -> Column:
@@ -95,22 +97,13 @@ def _line(text: Column) -> Column:
 def common_lines(
     docs: DataFrame, host: str, digest: str, text: str, min_docs: int = LINE_DOCS, min_percent: float = LINE_PERCENT
 ) -> tuple[DataFrame, DataFrame]:
-    """(every line of every distinct text as host, digest, line, words; the host, line pairs above the limits)."""
+    """(every line of every distinct text as host, digest, line; the host, line pairs above the limits)."""
     lines = F.filter(F.split(F.col(text), "\n"), lambda x: F.length(F.translate(x, WS, "")) > 0)
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(_line(x)).alias("line"), F.size(_words(x)).alias("words")))
-    each = (
-        docs.select(F.col(host).alias("host"), F.col(digest).alias("digest"), F.inline(hashed))
-        .groupBy("host", "digest", "line", "words")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # the copies of a text hold each line equally often; their number is divided out of n
-    copies = docs.groupBy(F.col(host).alias("c_host"), F.col(digest).alias("c_digest")).agg(F.count(F.lit(1)).alias("copies"))
-    each = cut(
-        each.join(copies, F.col("host").eqNullSafe(F.col("c_host")) & (F.col("digest") == F.col("c_digest")))
-        .select("host", "digest", "line", (F.col("words") * F.col("n") / F.col("copies")).cast("long").alias("words"))
-    )
-    texts = copies.groupBy("c_host").agg(F.count(F.lit(1)).alias("texts"))
-    seen = each.groupBy("host", "line").agg(F.countDistinct("digest").alias("docs")).filter(F.col("docs") >= min_docs)
+    hashed = F.array_distinct(F.transform(lines, lambda x: F.xxhash64(_line(x))))
+    named = [F.col(host).alias("host"), F.col(digest).alias("digest")]
+    each = docs.select(*named, F.explode(hashed).alias("line")).distinct()
+    texts = docs.select(*named).distinct().groupBy(F.col("host").alias("c_host")).agg(F.count(F.lit(1)).alias("texts"))
+    seen = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
     flagged = (
         seen.join(texts, F.col("host").eqNullSafe(F.col("c_host")))
         .filter(F.col("docs") * 100 >= F.col("texts") * min_percent)
@@ -119,6 +112,45 @@ def common_lines(
     return each, cut(flagged)
 
 
+def _dealt(hashes: Column) -> Column:
+    """Distinct hashes as lists by their remainder."""
+
+    def lists(h: Column) -> Column:
+        n = F.ceil(F.sqrt(F.size(h))).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.filter(h, lambda x: F.pmod(x, n) == i))
+
+    return let(hashes, lists)
+
+
+def _with_common(docs: DataFrame, text_col: str, host_col: str, min_docs: int, min_percent: float) -> DataFrame:
+    """``docs`` with a column __b_lines: the hashes of boilerplate lines to take out of the row's text, null for none.
+
+    The lines of a host are broadcast where they are few; else each text gets those that are in it, by host and digest.
+    Hashes are dealt into the square root of their number of lists, so a text costs less than its lines times these.
+    """
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    slim = docs.select(F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), digest.alias("digest"))
+    each, flagged = common_lines(slim, "host", "digest", "text", min_docs, min_percent)
+    total, most = flagged.groupBy("f_host").count().agg(F.sum("count"), F.max("count")).first()
+    same_host = F.col(host_col).eqNullSafe(F.col("__b_host"))
+    if (total or 0) <= BROADCAST_LINES and (most or 0) <= HOST_LINES:
+        bad = flagged.groupBy(F.col("f_host").alias("__b_host")).agg(_dealt(F.collect_list("f_line")).alias("__b_lines"))
+        return docs.join(F.broadcast(bad), same_host, "left")
+    bad = (
+        each.join(flagged, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")))
+        .groupBy(F.col("host").alias("__b_host"), F.col("digest").alias("__b_digest"))
+        .agg(_dealt(F.collect_list("line")).alias("__b_lines"))
+    )
+    return docs.join(bad, same_host & (digest == F.col("__b_digest")), "left")
+
+
+def _outside(text: Column, bad: Column) -> Column:
+    """``text`` without the lines whose hashes are in ``bad``, lists by remainder; unchanged where that is null."""
+    common = lambda h: F.array_contains(F.get(bad, F.pmod(h, F.size(bad)).cast("int")), h)
+    left = F.filter(F.split(text, "\n"), lambda x: ~let(F.xxhash64(_line(x)), common))
+    return F.when(bad.isNull(), text).otherwise(F.array_join(left, "\n"))
+
+
 def quality_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -128,58 +160,38 @@ def quality_rules(
     min_percent: float = LINE_PERCENT,
     min_left_percent: float = MIN_LEFT_PERCENT,
 ) -> DataFrame:
-    """One row per input row: ``id_col``, the base counts, words_removed, base_failed, kept.
+    """One row per input row: ``id_col``, the base counts, words_removed, base_failed, kept, text_left.
 
-    ``base_failed``: fewer than 50 words, or over half of them in repeated three-word windows. ``words_removed``: words
-    in boilerplate lines. ``kept``: neither base_failed nor depleted. Null text has no words and fails; null hosts form
-    a host; null and repeated ids keep a row each. An empty table gives an empty result.
+    ``text_left``: the text without the boilerplate lines of its host, null for null. ``words_removed``: the words it has
+    lost. ``base_failed``: the whole text has fewer than 50 words, or over half of them in repeated three-word windows.
+    ``kept``: neither base_failed nor depleted. Null text has no words and fails; null hosts form a host; null and
+    repeated ids keep a row each. An empty table gives an empty result.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), text.alias("text")).withColumn(
-        "digest", F.unhex(F.md5("text"))
-    )
-    each, flagged = common_lines(slim, "host", "digest", "text", min_docs, min_percent)
-    removed = (
-        each.join(flagged, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")))
-        .groupBy("host", "digest")
-        .agg(F.sum("words").alias("words_removed"))
-        .select(F.col("host").alias("r_host"), F.col("digest").alias("r_digest"), "words_removed")
-    )
-    counted = base_counts(slim, "text").drop("text")
-    out = counted.join(removed, F.col("host").eqNullSafe(F.col("r_host")) & (F.col("digest") == F.col("r_digest")), "left")
+    slim = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    counted = base_counts(_with_common(slim, "text", "host", min_docs, min_percent), "text")
+    cleaned = counted.withColumn("text_left", _outside(F.col("text"), F.col("__b_lines")))
+    unchanged = F.col("text_left").eqNullSafe(F.col("text"))
+    out = cleaned.withColumn("words_left", F.when(unchanged, F.col("n_words")).otherwise(word_count(F.col("text_left"))))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    gone = F.coalesce("words_removed", F.lit(0)).cast("long")
-    depleted = (F.col("n_words") - gone) * 100 < F.col("n_words") * min_left_percent
+    depleted = F.col("words_left") * 100 < F.col("n_words") * min_left_percent
     return out.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        gone.alias("words_removed"), base_failed.alias("base_failed"), (~base_failed & ~depleted).alias("kept"),
+        (F.col("n_words") - F.col("words_left")).alias("words_removed"), base_failed.alias("base_failed"),
+        (~base_failed & ~depleted).alias("kept"), "text_left",
     )
 
 
 def remove_common_lines(
     docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = LINE_DOCS, min_percent: float = LINE_PERCENT
 ) -> DataFrame:
-    """``docs`` with the boilerplate lines of its host taken out of ``text_col``; null text stays null.
-
-    Lines of a text are looked up as an array of flagged hashes per host and digest, so texts without any are unchanged.
-    """
-    slim = docs.select(F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    slim = slim.withColumn("digest", F.unhex(F.md5("text")))
-    each, flagged = common_lines(slim, "host", "digest", "text", min_docs, min_percent)
-    bad = (
-        each.join(flagged, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")))
-        .groupBy(F.col("host").alias("__b_host"), F.col("digest").alias("__b_digest"))
-        .agg(F.collect_set("line").alias("__b_lines"))
-    )
-    digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    left = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains("__b_lines", F.xxhash64(_line(x))))
-    joined = docs.join(bad, F.col(host_col).eqNullSafe(F.col("__b_host")) & (digest == F.col("__b_digest")), "left")
-    text = F.when(F.col("__b_lines").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    """``docs`` with the boilerplate lines of its host taken out of ``text_col``; null text stays null."""
+    joined = _with_common(docs, text_col, host_col, min_docs, min_percent)
+    text = _outside(F.col(text_col), F.col("__b_lines"))
     return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(read(spark, sf_dir, "documents"))
+    return quality_rules(read(spark, sf_dir, "documents")).drop("text_left")
 
 
 ORACLE = r"""
