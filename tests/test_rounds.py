@@ -1,10 +1,13 @@
 """The loop runs until it has settled, or says that it hasn't."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from undertow.lineage import cut
+from undertow.operators.accumulate import SUM
 from undertow.operators.graph import Graph
 from undertow.operators.schedule import TopK
-from undertow.plans import catalog, programs
+from undertow.plans import catalog, engine, programs
 
 
 def chain(spark, n):
@@ -38,3 +41,27 @@ def test_queries_set_no_bound(spark, monkeypatch, name):
     monkeypatch.setattr(catalog, "_parts", lambda spark, sf_dir: chain(spark, 4))
     assert {r.k: r.value for r in catalog.QUERIES[name](spark, "").collect()} == {k: float(k) for k in range(4)}
     assert given.get("rounds") is None and given.get("max_rounds") is None
+
+
+def test_links_lie_in_as_many_partitions_as_they_fill(spark, monkeypatch):
+    """Every round starts a task for each of them, however many shuffle partitions the session asks for."""
+    graph, program = chain(spark, 9).stored(), engine.Program(SUM, F.lit(0.0), F.lit(1.0), F.lit(0.5))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        for each, want in ((100, 1), (4, 2), (1, 8)):
+            monkeypatch.setattr(engine, "LINKS_EACH", each)
+            links, _ = engine._links(graph, program)
+            assert links.rdd.getNumPartitions() == want and links.count() == 8
+            links.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_round_reads_its_state_once(spark, monkeypatch):
+    """What decides on the next round is counted while the state is written, so no round needs a job for that."""
+    seen = []
+    monkeypatch.setattr(engine, "cut", lambda df: seen.append("CollectMetrics" in df._jdf.queryExecution().analyzed().toString()) or cut(df))
+    done = programs.pagerank(chain(spark, 4), eps=1e-3)
+    assert [r["n_sent"] for r in done.metrics][:4] == [4, 3, 2, 1]
+    assert sum(seen) == done.rounds + 1
