@@ -121,6 +121,14 @@ def test_min_message_is_for_sums_only(tiny):
     assert values(programs.pagerank(tiny, rounds=2, min_message=0.1).final()) == [0.2, 0.2, 0.36, 0.488, 0.2]
 
 
+
+def test_a_message_of_the_least_size_is_kept(spark):
+    """0.2 * 0.8 / 40 is 0.004; with 1 - 0.8 for 0.2 it is a little less."""
+    star = Graph.of(spark.range(1, 41).selectExpr("cast(0 as long) as src", "id as dst"))
+    got = values(programs.pagerank(star, rounds=1, min_message=0.004).final())
+    assert got == [0.2] + [0.204] * 40
+
+
 def test_own_accumulator(tiny):
     """The last digit decides which id is the largest."""
     def larger(a, b):
