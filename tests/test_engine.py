@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from undertow.operators.graph import Graph
 from undertow.operators.schedule import MinDelta, Portion, TopK
 from undertow.operators import schedule
-from undertow.plans import engine, programs
+from undertow.plans import catalog, engine, programs
 from undertow.plans.engine import Program, load_state, run, save_state
 from undertow.operators.accumulate import SUM, Accumulator
 
@@ -157,6 +157,21 @@ def test_trigger_sees_every_change(tiny):
     assert [r.value for r in done.state.orderBy("k").collect()] == [0, 1, 103, 4, None]
 
 
+def test_trigger_sees_the_last_change(spark):
+    """A chain longer than the rounds: the change that the last round sends is folded at the end."""
+    chain = Graph.of(spark.range(9).selectExpr("id as src", "id + 1 as dst", "cast(1.5 as double) as weight"))
+    done = programs.shortest_path(chain, source=0, rounds=3, trigger=lambda k, value, new: F.floor(new))
+    assert values(done.final()) == [0, 1, 3, 4] + [None] * 6
+
+
+def test_trigger_query_on_deep_links(spark, monkeypatch):
+    """The query's SQL has paths of 12 links, and the 12th round's changes are still pending after 12 rounds."""
+    chain = Graph.of(spark.range(20).selectExpr("id as src", "id + 1 as dst", "cast(1.5 as double) as weight"))
+    monkeypatch.setattr(catalog, "_parts", lambda spark, sf_dir: chain)
+    got = {r.k: r.value for r in catalog.QUERIES["trigger_floors_values"](spark, "").collect()}
+    assert got == {k: math.floor(1.5 * k) if k <= 12 else None for k in range(21)}
+
+
 def test_old_states_are_deleted(tiny, monkeypatch):
     kept = []
     monkeypatch.setattr(engine, "forget", kept.append)
