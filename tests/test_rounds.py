@@ -65,3 +65,19 @@ def test_a_round_reads_its_state_once(spark, monkeypatch):
     done = programs.pagerank(chain(spark, 4), eps=1e-3)
     assert [r["n_sent"] for r in done.metrics][:4] == [4, 3, 2, 1]
     assert sum(seen) == done.rounds + 1
+
+
+@pytest.mark.parametrize("name", ["topk_equals_full", "portion_equals_full"])
+def test_paths_have_as_many_links_as_in_the_sql(spark, monkeypatch, name):
+    """A chain of 15 links, and a dear link to its 3rd vertex that lets paths of 12 links reach two vertices more."""
+    edges = [(i, i + 1, 1.0) for i in range(15)] + [(0, 3, 9.0)]
+    graph = Graph.of(spark.createDataFrame(edges, "src long, dst long, weight double"))
+    monkeypatch.setattr(catalog, "_parts", lambda spark, sf_dir: graph)
+    got = {r.k: r.value for r in catalog.QUERIES[name](spark, "").collect()}
+    assert got == {k: float(k) for k in range(13)} | {13: 19.0, 14: 20.0, 15: None}
+
+
+def test_a_bound_on_links_is_for_whole_runs_of_idempotent_programs(spark):
+    for run in (lambda: programs.pagerank(chain(spark, 4), links=2), lambda: programs.shortest_path(chain(spark, 4), source=0, links=2, rounds=2)):
+        with pytest.raises(ValueError):
+            run()
