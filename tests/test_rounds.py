@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from undertow.lineage import cut
 from undertow.operators.accumulate import SUM
+from undertow.operators import graph as g
 from undertow.operators.graph import Graph
 from undertow.operators.schedule import TopK
 from undertow.plans import catalog, engine, programs
@@ -81,3 +82,26 @@ def test_a_bound_on_links_is_for_whole_runs_of_idempotent_programs(spark):
     for run in (lambda: programs.pagerank(chain(spark, 4), links=2), lambda: programs.shortest_path(chain(spark, 4), source=0, links=2, rounds=2)):
         with pytest.raises(ValueError):
             run()
+
+
+@pytest.mark.parametrize("each", [1, 7, 1000])
+def test_successors_over_ranges(spark, monkeypatch, each):
+    """The next row by order, over the borders of ranges too."""
+    monkeypatch.setattr(g, "RANGE_ROWS", each)
+    order = [(i * 37) % 101 * 3 for i in range(101)]
+    rows = spark.createDataFrame([(at, None if at == 30 else at % 11) for at in order], "at long, x long")
+    by = {r.at: r.x for r in rows.collect()}
+    want = sorted(((by[a], by.get(b)) for a, b in zip(sorted(by), [*sorted(by)[1:], None])), key=str)
+    assert sorted(((r.src, r.dst) for r in g.successors(rows, "at", "x").collect()), key=str) == want
+    assert g.successors(rows.limit(0), "at", "x").count() == 0
+
+
+def test_no_window_orders_a_whole_table(spark, monkeypatch):
+    monkeypatch.setattr(g, "RANGE_ROWS", 50)
+    told = []
+    monkeypatch.setattr(g, "cut", lambda df: told.append(df) or cut(df))
+    edges = catalog._user_edges(spark, "/root/testdata/sf0.001")
+    sizes = told[0].groupBy("part").count().collect()
+    assert len(sizes) > 2 and max(r["count"] for r in sizes) < 100
+    assert edges.exceptAll(catalog._sql(spark, "/root/testdata/sf0.001", catalog.USER_EDGES)).count() == 0
+    assert edges.count() == catalog._sql(spark, "/root/testdata/sf0.001", catalog.USER_EDGES).count()
