@@ -105,3 +105,25 @@ def test_no_window_orders_a_whole_table(spark, monkeypatch):
     assert len(sizes) > 2 and max(r["count"] for r in sizes) < 100
     assert edges.exceptAll(catalog._sql(spark, "/root/testdata/sf0.001", catalog.USER_EDGES)).count() == 0
     assert edges.count() == catalog._sql(spark, "/root/testdata/sf0.001", catalog.USER_EDGES).count()
+
+
+def test_shortcuts_lead_to_the_ends_of_paths(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(500, 400), (450, 500), (600, 450), (7, 7)]
+    got = {(r.src, r.dst) for r in g.shortcuts(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {(i, 300) for i in range(300)} | {(400, 500), (450, 600)}  # 500 is larger than its neighbours 400 and 450
+    assert g.shortcuts(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    """A chain of 5000 links; shortcuts over 1024 of them at most would still leave a round for every 1024."""
+    rounds, real = [], programs.components
+
+    def components(graph, **options):
+        done = real(graph, **options)
+        rounds.append(done.rounds)
+        return done
+
+    monkeypatch.setattr(programs, "components", components)
+    monkeypatch.setattr(catalog, "_chains", lambda spark, sf_dir: chain(spark, 5000))
+    got = catalog.QUERIES["components"](spark, "").collect()
+    assert len(got) == 5000 and {r.value for r in got} == {4999.0} and rounds[0] <= 4
