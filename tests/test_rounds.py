@@ -127,3 +127,21 @@ def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(catalog, "_chains", lambda spark, sf_dir: chain(spark, 5000))
     got = catalog.QUERIES["components"](spark, "").collect()
     assert len(got) == 5000 and {r.value for r in got} == {4999.0} and rounds[0] <= 4
+
+
+@pytest.fixture
+def stores(spark, monkeypatch):
+    """The times that links which no files hold yet are written."""
+    seen, real = [], Graph.stored
+
+    def stored(graph):
+        seen.append(graph.files)
+        return real(graph)
+
+    monkeypatch.setattr(Graph, "stored", stored)
+    monkeypatch.setattr(catalog, "_parts", lambda spark, sf_dir: chain(spark, 6))
+    return lambda: seen.count(False)
+
+
+def test_resuming_derives_the_links_once(spark, stores):
+    assert catalog.QUERIES["resume_equals_straight"](spark, "").count() == 6 and stores() == 1
