@@ -145,3 +145,7 @@ def stores(spark, monkeypatch):
 
 def test_resuming_derives_the_links_once(spark, stores):
     assert catalog.QUERIES["resume_equals_straight"](spark, "").count() == 6 and stores() == 1
+
+
+def test_a_grid_derives_the_links_once(spark, stores):
+    assert catalog.QUERIES["experiment_grid"](spark, "").count() == 4 and stores() == 1
